@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from probatum.llm import queries_visual
+from probatum.llm import queries_scans, queries_visual
 
-_MODULES = (queries_visual,)
+_MODULES = (queries_visual, queries_scans)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
