@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.llm.scans import line_defects, number_defects
-from probatum.llm.visual import _form
 from probatum.session import checkpointed, table
 
 
@@ -14,7 +13,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_kind, rec_id, line, defect) of lines of readings and of printed numbers."""
     defects, digits = line_defects(table(spark, sf_dir, "readings"))
     defects = checkpointed(defects.distinct())
-    numbers = number_defects(table(spark, sf_dir, "printed_numbers"), defects, digits, _form)
+    numbers = number_defects(table(spark, sf_dir, "printed_numbers"), defects, digits)
     # Frame lines have no other defect.
     framed = defects.filter("defect = 'furniture'").select("reading_id", "line")
     lines = defects.filter("defect = 'furniture'").unionByName(

@@ -38,7 +38,9 @@ LOOKALIKE = dict(
 )
 _LETTERS_LIKE = "".join(c for c in LOOKALIKE if c.isalpha())
 _IGNORED = re.compile(f"[{IGNORABLE}]+")
-_WORD = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[\u0300-\u036f])*")
+# A word that holds a letter of another script; marks may stand between its letters.
+_MARKED = r"(?:[^\W\d_]|[\u0300-\u036f])"
+_WORD = re.compile(rf"(?<![^\W\d_])[A-Za-z\u00c0-\u024f\u0300-\u036f]*[\u0370-\u052f]{_MARKED}*")
 _LIKE = re.compile(f"[{_LETTERS_LIKE}]")
 _LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 
@@ -69,8 +71,8 @@ def _plain() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)
-def _plain_pattern() -> re.Pattern:
-    return re.compile("[" + re.escape("".join(map(chr, _plain()))) + "]")
+def _plain_characters() -> frozenset[str]:
+    return frozenset(map(chr, _plain()))
 
 
 def _latin_word(m: re.Match) -> str:
@@ -88,7 +90,7 @@ def consistent_form(text: str) -> str:
     if text.isascii() and "\t" not in text:
         return text
     out = _IGNORED.sub("", text)
-    if _plain_pattern().search(out):
+    if not _plain_characters().isdisjoint(out):
         out = out.translate(_plain())
     if _LIKE.search(out):
         out = _WORD.sub(_latin_word, out)
