@@ -264,6 +264,8 @@ def _person(tokens: list[list[str]], given: GivenNames) -> tuple[list[str], list
         if after:
             return after, words[: initial[-1] + 1]
         before = words[: initial[0]]
+        if not before:  # initials alone
+            return ["".join(words)], []
         if len(before) == 1:
             return before, words[1:]
         if given.canonical(before[0].lower()) and not given.canonical(before[-1].lower()):

@@ -31,6 +31,7 @@ def test_reading(name, kind, anchor, letters):
 
 
 def test_nothing_to_read():
+    assert read_name("K. P.", GIVEN)[:2] == ("p", "kp")
     assert read_name(None, GIVEN) is None and read_name(" , ", GIVEN) is None and read_name("1234", GIVEN) is None
 
 
