@@ -344,7 +344,7 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edits(x, y, 1) for x, y in zip(a, b)])
 
 
-def _known_given(names: DataFrame) -> GivenNames:
+def known_given(names: DataFrame) -> GivenNames:
     """Given names frequent after a comma; their number is bounded by the least share."""
     after = names.select(F.lower(F.regexp_extract("name", r"^[^,]*,\s*(?:Dr\.\s*)?(\p{L}{3,})(?:\s+(?:\p{L}\.?\s*)*)?$", 1)).alias("g")).filter("g <> ''")
     counts = checkpointed(after.groupBy("g").count())
@@ -398,7 +398,7 @@ def components(edges: DataFrame) -> DataFrame:
 def name_entities(names: DataFrame) -> DataFrame:
     """(name, entity) of each distinct spelling in names(name) that names an entity."""
     names = checkpointed(names.select("name").filter(F.trim("name") != "").distinct())
-    read = _reader(_known_given(names))
+    read = _reader(known_given(names))
     parsed = checkpointed(names.withColumn("r", read("name")).select("name", "r.*").filter("anchor is not null"))
     node = ["kind", "anchor", "letters"]
 
