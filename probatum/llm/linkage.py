@@ -303,4 +303,6 @@ def same_work(left: DataFrame, right: DataFrame, left_id: str, right_id: str, le
     """The pairs among the nearest of both sides with a score of least or more, and an author or the DOI in common."""
     matched = match_records(left, right, left_id, right_id)
     shared = (F.col("names") != 0) | (F.col("doi") > 0)
-    return matched.filter(F.col("mutual") & shared & (F.col("score") >= least)).select(left_id, right_id, "confidence")
+    # Where an author list is missing, the rest has to agree better.
+    enough = F.col("score") >= F.when((F.col("names") < 0) & (F.col("doi") <= 0), least + 0.1).otherwise(least)
+    return matched.filter(F.col("mutual") & shared & enough).select(left_id, right_id, "confidence")
