@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from probatum.plans import packing
+from probatum.plans import packing, verify
 
-_MODULES = (packing,)
+_MODULES = (verify, packing)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
