@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from probatum.plans import ledgers, packing, verify
+from probatum.plans import ledgers, packing, texts, verify
 
-_MODULES = (verify, ledgers, packing)
+_MODULES = (verify, ledgers, texts, packing)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
