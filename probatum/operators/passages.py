@@ -29,8 +29,9 @@ def candidates(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     quotes(quote_id, source, quote), texts(text_id, source, text). A quotation that begins inside a word of
     the text is sought by its second to fourth word as well.
     """
-    q = quotes.select("quote_id", "source", F.split(folded("quote"), " ").alias("_w"))
-    t = texts.select("text_id", "source", F.split(folded("text"), " ").alias("_w"))
+    words = lambda c: F.split(F.trim(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", " ")), " ")
+    q = quotes.select("quote_id", "source", words("quote").alias("_w"))
+    t = texts.select("text_id", "source", words("text").alias("_w"))
     long = q.filter(F.size("_w") > KEY_WORDS)
     wanted = long.select(
         "quote_id", "source", F.explode(F.array(*[F.xxhash64(F.array_join(F.slice("_w", i, KEY_WORDS), " ")) for i in (1, 2)])).alias("_key")
