@@ -1,6 +1,6 @@
 import pytest
 
-from probatum.llm.names import GivenNames, assignment_cost, components, edits, entity_pairs, name_entities, plain, read_name
+from probatum.llm.names import GivenNames, assignment_cost, edits, entity_pairs, name_entities, plain, read_name
 
 GIVEN = GivenNames({"kofi", "johanna", "veronika"})
 
@@ -57,9 +57,3 @@ def test_pairs(spark):
     assert not any(set(p) & set(people) for p in pairs)
     assert not any((p[0] in same) != (p[1] in same) for p in pairs)
     assert name_entities(df.limit(0)).count() == 0
-
-
-def test_components(spark):
-    chain = [(str(i), str(i + 1)) for i in range(20)] + [("x", "y"), ("y", "x"), ("z", "z")]
-    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a string, b string")).collect()}
-    assert len({roots[str(i)] for i in range(21)}) == 1 and roots["x"] == roots["y"] == "x" and "z" not in roots
