@@ -20,17 +20,18 @@ DECIMAL = "decimal(38,9)"
 
 def printed_places(reported: Column | str) -> Column:
     """Decimal places as printed; negative where an exponent makes the last digit count tens or more."""
-    c = F.col(reported) if isinstance(reported, str) else reported
-    fraction = F.length(F.regexp_extract(c, r"\.(\d*)", 1))
-    exponent = F.coalesce(F.regexp_extract(c, r"[eE]([+-]?\d+)\s*$", 1).try_cast("int"), F.lit(0))
-    return F.when(c.isNotNull(), fraction - exponent)
+    c = F.trim(F.col(reported) if isinstance(reported, str) else reported)
+    dot = F.instr(c, ".")
+    plain = F.when(dot > 0, F.length(c) - dot).otherwise(0)
+    exponent = F.coalesce(F.regexp_extract(c, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    written = F.length(F.regexp_extract(c, r"\.(\d*)", 1)) - exponent
+    return F.when(c.isNull(), None).when(c.contains("e") | c.contains("E") | c.contains("%"), written).otherwise(plain)
 
 
 def number(text: Column | str) -> Column:
     """The decimal a text states, null where it states none (NaN and infinities too)."""
     c = F.col(text) if isinstance(text, str) else text
-    bare = F.regexp_replace(F.trim(c), r"^\+", "")
-    return F.when(bare.rlike(r"^-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast(DECIMAL))
+    return F.trim(c).try_cast(DECIMAL)
 
 
 def quantum(places: Column) -> Column:

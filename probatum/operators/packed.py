@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.functions.arrow import arrow
-from probatum.session import broadcast_if_small, checkpointed
+from probatum.session import broadcast_if_small, checkpointed, spread
 
 PERSON_FIELDS = ("author", "editor")
 WORD_FIELDS = ("keywords",)
@@ -260,7 +260,7 @@ def packed_values(entries: DataFrame, keep_single: bool = False) -> DataFrame:
     keep_single keeps the fields that hold one value; n_values tells how many a field holds.
     """
     rows = (
-        entries.select("entry_id", F.explode(_fields_udf("text")).alias("f"))
+        spread(entries.select("entry_id", "text")).select("entry_id", F.explode(_fields_udf("text")).alias("f"))
         .select("entry_id", F.col("f.field_name"), F.col("f.val").alias("raw"), F.col("f.kinds"), F.col("f.at"))
         .withColumn("persons", F.col("field_name").isin(*PERSON_FIELDS))
     )

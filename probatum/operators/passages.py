@@ -1,8 +1,8 @@
 """Quotations in texts, set at a time: candidates by word shingles, then the exact rule.
 
 Texts and quotations are folded once. A quotation's rarest part is not sought by scanning: its first words
-form a key that is joined with the keys of the texts' words, within the source they both name. Quotations
-with fewer words than a key use one word. Only what is not found verbatim is compared without blanks, and
+form a key that is joined with the keys of the texts' words, within the source they both name. Shorter quotations
+use two words, or one. Only what is not found verbatim is compared without blanks, and
 only with the texts of its page (or, where no page is named, of its source).
 """
 
@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.functions.folds import divergence_udf, folded, omission_udf, resolve_udf
-from probatum.session import checkpointed
+from probatum.session import checkpointed, spread
 
-#: Words in a key.
-KEY_WORDS = 3
+#: Words in a key; a quotation with no more words than that uses two, or one.
+KEY_WORDS = 5
 
 
 def _keys(words, n: int):
@@ -30,14 +30,17 @@ def candidates(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     the text is sought by its second to fourth word as well.
     """
     words = lambda c: F.split(F.trim(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", " ")), " ")
-    q = quotes.select("quote_id", "source", words("quote").alias("_w"))
-    t = texts.select("text_id", "source", words("text").alias("_w"))
+    # Written down, so that the keys below read the words and do not fold the text anew for each.
+    q = checkpointed(spread(quotes).select("quote_id", "source", words("quote").alias("_w")))
+    t = checkpointed(spread(texts).select("text_id", "source", words("text").alias("_w")))
     long = q.filter(F.size("_w") > KEY_WORDS)
     wanted = long.select(
         "quote_id", "source", F.explode(F.array(*[F.xxhash64(F.array_join(F.slice("_w", i, KEY_WORDS), " ")) for i in (1, 2)])).alias("_key")
-    ).unionByName(q.filter(F.size("_w") <= KEY_WORDS).select("quote_id", "source", F.xxhash64(F.element_at("_w", F.lit(1))).alias("_key")))
+    ).unionByName(
+        q.filter(F.size("_w") <= KEY_WORDS).select("quote_id", "source", F.xxhash64(F.array_join(F.slice("_w", 1, 2), " ")).alias("_key"))
+    )
     needed = wanted.select("source", "_key").distinct()
-    held = t.select("text_id", "source", F.explode(F.array_union(_keys(F.col("_w"), KEY_WORDS), _keys(F.col("_w"), 1))).alias("_key"))
+    held = t.select("text_id", "source", F.explode(F.array_union(F.array_union(_keys(F.col("_w"), KEY_WORDS), _keys(F.col("_w"), 2)), _keys(F.col("_w"), 1))).alias("_key"))
     met = held.join(needed, ["source", "_key"], "left_semi").join(wanted, ["source", "_key"])
     return met.select("quote_id", "text_id").distinct()
 
@@ -48,7 +51,7 @@ def quote_states(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     found where every text that holds it does so once; ambiguous where one holds it more often; not found.
     quotes may name a page; then texts of other pages make it wrong_page.
     """
-    met = candidates(quotes, texts).join(quotes.select("quote_id", "quote", F.col("page").alias("_page")), "quote_id").join(texts.select("text_id", "text", "page"), "text_id")
+    met = spread(checkpointed(candidates(quotes, texts))).join(quotes.select("quote_id", "quote", F.col("page").alias("_page")), "quote_id").join(texts.select("text_id", "text", "page"), "text_id")
     found = met.withColumn("r", resolve_udf("quote", "text")).filter("r.n > 0")
     return _summed(quotes, found)
 

@@ -12,13 +12,13 @@ from probatum.operators.decide import decide
 from probatum.operators.passages import covered_by, explain_missing, inside, quote_states, triangulate
 from probatum.operators.ranking import numbered
 from probatum.operators.survey import bindings
-from probatum.session import checkpointed, table
+from probatum.session import checkpointed, spread, table
 from probatum.sources.trees import json_leaves
 
 
 def json_pointer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value at /k of every event's properties against a printed one, every tenth off by one."""
-    e = table(spark, sf_dir, "events").select("event_id", "props", (F.col("event_id") % 10 == 0).alias("off"))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "props")).select("event_id", "props", (F.col("event_id") % 10 == 0).alias("off"))
     at = F.element_at(F.filter("leaves", lambda x: x["pointer"] == "/k"), 1)
     located = e.withColumn("leaves", json_leaves("props")).withColumn("stored", F.when(F.size(F.filter("leaves", lambda x: x["pointer"] == "/k")) > 0, at["raw"]))
     located = located.withColumn("resolution", F.when(F.col("stored").isNull(), "absent").otherwise("resolved"))
@@ -78,13 +78,13 @@ def number_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def number_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every number the readings print, found anew: counts by form and rule."""
-    r = table(spark, sf_dir, "readings").select("reading_id", F.explode(inventory_udf("text")).alias("n")).select("reading_id", "n.*")
+    r = spread(table(spark, sf_dir, "readings").select("reading_id", "text")).select("reading_id", F.explode(inventory_udf("text")).alias("n")).select("reading_id", "n.*")
     return r.groupBy("form", "rule").agg(F.count("*").alias("n"), F.count("num_value").alias("n_values"))
 
 
 def prose_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number after 'by hand gave' on each reading: resolved where one value stands there, ambiguous where several."""
-    r = table(spark, sf_dir, "readings").filter("text is not null").select("reading_id", located_udf("text", F.lit("by hand gave"), F.lit("")).alias("at"))
+    r = spread(table(spark, sf_dir, "readings").filter("text is not null").select("reading_id", "text")).select("reading_id", located_udf("text", F.lit("by hand gave"), F.lit("")).alias("at"))
     values = F.array_distinct(F.transform("at", lambda x: x["printed"]))
     located = r.withColumn("resolution", F.when(F.size("at") == 0, "absent").when(F.size(values) > 1, "ambiguous").otherwise("resolved"))
     located = located.withColumn("stored", F.when(F.col("resolution") == "resolved", F.element_at(values, 1))).withColumn("reported", F.regexp_replace("stored", "%$", ""))
@@ -129,7 +129,7 @@ def quotation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reader_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages on which all readers give one text once blanks are left out, and those where they differ."""
-    r = table(spark, sf_dir, "readings").filter("text is not null")
+    r = spread(table(spark, sf_dir, "readings").filter("text is not null").select("artifact_id", "page", "text"))
     states = r.select(F.concat_ws("/", "artifact_id", F.col("page").cast("string")).alias("quote_id"), F.sha2(skeleton_udf("text"), 256).alias("state"))
     t = triangulate(states)
     return t.groupBy((F.col("state") == "indeterminate").alias("differ"), "n_readers").agg(F.count("*").alias("n_pages"))

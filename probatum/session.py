@@ -54,3 +54,10 @@ def broadcast_if_small(df: DataFrame, width: Column, limit: int = BROADCAST_BYTE
     """
     total = df.agg(F.sum(width + F.lit(16)).alias("n")).first()["n"] or 0
     return F.broadcast(df) if total <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are task slots: rows of few small files are dealt out anew
+    before work that is dear per row; an input with partitions enough is left as it lies."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
