@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.llm.scans import line_defects, number_defects
+from probatum.llm.scans import line_defects, number_defects, paragraphs
 from probatum.session import checkpointed, table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_kind, rec_id, line, defect) of lines of readings and of printed numbers."""
-    defects, digits = line_defects(table(spark, sf_dir, "readings"))
+    defects, digits, _ = line_defects(table(spark, sf_dir, "readings"))
     defects = checkpointed(defects.distinct())
     numbers = number_defects(table(spark, sf_dir, "printed_numbers"), defects, digits)
     # Frame lines have no other defect.
@@ -26,5 +26,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reading_id, pos, paragraph): the readings as continuous paragraphs."""
+    readings = table(spark, sf_dir, "readings")
+    defects, _, written = line_defects(readings)
+    return paragraphs(readings, checkpointed(defects.distinct()), checkpointed(written.distinct()))
+
+
+QUERIES = {"p5_found": p5_found, "p5_paragraphs": p5_paragraphs}
 ORACLES: dict[str, str] = {}

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from probatum.llm.mixing import mix, schedule, shares
 from probatum.llm.packing import pack
 from probatum.llm.tokens import token_count
-from probatum.session import checkpointed, table
+from probatum.session import checkpointed, spread, table
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return checkpointed(documents.select("doc_id", "source", token_count("text").alias("tokens")))
+    return checkpointed(spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", token_count("text").alias("tokens")))
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> dict[int, list[int]]:
