@@ -98,9 +98,11 @@ def text_agrees(stored: Column, reported: Column) -> Column:
 
 
 def significant_digits(written: Column | str) -> Column:
+    """Digits that say something: zeros in front never do, zeros at the end only after a decimal point."""
     c = F.col(written) if isinstance(written, str) else written
-    digits = F.regexp_replace(F.regexp_replace(c, r"[eE].*$", ""), r"[^0-9]", "")
-    return F.length(F.regexp_replace(digits, r"^0+", ""))
+    mantissa = F.regexp_replace(F.regexp_replace(c, r"[eE].*$", ""), r"[^0-9.]", "")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), r"^0+", "")
+    return F.length(F.when(mantissa.contains("."), digits).otherwise(F.regexp_replace(digits, r"0+$", "")))
 
 
 def canonical(written: Column | str) -> Column:

@@ -78,7 +78,7 @@ def _person_class(word: str) -> str:
     low = word.lower()
     if low == "and":
         return "a"
-    if low in ("others", "al", "al."):
+    if low in ("others", "al", "al.", "etc", "etc."):
         return "o"
     if low == "et":
         return "e"
@@ -142,7 +142,9 @@ def skeleton(value: str, persons: bool) -> tuple[str, list[int]]:
                     i += 1
             i = min(i, n)
             word = value[start:i]
-            if grouped and word[0] in '{"' and _closing(word, 0) == len(word) - 1:
+            if len(word) > 1 and not word.strip(".") or word == "…":
+                kind = "o"
+            elif grouped and word[0] in '{"' and _closing(word, 0) == len(word) - 1:
                 kind = "G"
             else:
                 kind = _person_class(word) if persons else "W"
@@ -213,7 +215,7 @@ def resolve(kinds: str, persons: bool) -> list[int]:
     """First and last token of each value of a skeleton, flat."""
     if not persons:
         cuts = ",;|/" if re.search(r"[,;|/]", kinds) else "n"
-        return [x for s, e, _ in _runs(kinds, 0, len(kinds), cuts) for x in (s, e)]
+        return [x for s, e, k in _runs(kinds, 0, len(kinds), cuts) if k.strip("o") for x in (s, e)]
     hard = bool(re.search(r"[;|&/]|a(?!n*o)", kinds))
     cuts = "a;|&/"
     segments = [x for r in _runs(kinds, 0, len(kinds), cuts) if (x := _without_rest(r, kinds))]

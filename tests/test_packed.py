@@ -23,6 +23,8 @@ def split(value, persons=True):
         ('"CTC Huk", Mike Kriss, Y. Thang, and W. Moner', ['"CTC Huk"', "Mike Kriss", "Y. Thang", "W. Moner"]),
         ("{Tides and Currents Council, Rel} \\& P. van Wor", ["{Tides and Currents Council, Rel}", "P. van Wor"]),
         ("Homon, O., Sossim, C. P.", ["Homon, O.", "Sossim, C. P."]),
+        ("Homon, O. and Sossim, C. P. and ...", ["Homon, O.", "Sossim, C. P."]),
+        ("Homon, O.; Sossim, C. P.; etc.", ["Homon, O.", "Sossim, C. P."]),
         ("", []),
         ("  ,, ; and ", []),
     ],
@@ -36,6 +38,7 @@ def test_persons(value, expected):
     [
         ("a b, c/d, e and f", ["a b", "c/d", "e and f"]),
         ("a / b | c · d;; e,", ["a", "b", "c", "d", "e"]),
+        ("a, b, ...", ["a", "b"]),
         ("a\n b, c", ["a\n b", "c"]),
         ("a\n b", ["a", "b"]),
         ('"a, b", {c; d}', ['"a, b"', "{c; d}"]),
