@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probatum.functions.folds import family_variants_udf, names_disagree_udf, similarity_udf, venue_forms_udf
 
+# Least likeness of titles, weight of the venue, form of an arXiv id.
 TITLE_LEAST = 0.87
 VENUE_WEIGHT = 1.5
 _ARXIV = r"(\d{4}\.\d{4,8}|[a-z-]+(?:\.[a-z]{2})?/\d{7})"

@@ -197,6 +197,7 @@ def removed_lines(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFra
     return old.select(*columns).exceptAll(new.select(*columns))
 
 
+# The lines a plan's status consists of, where its log begins, how a log entry begins.
 _STATUS = re.compile(r"^\*\*(?:Status|Plan sha256|Frozen|Log):\*\*")
 _LOG = "---\n\n## Log"
 _DATED = re.compile(r"^\s*(?:[-*+]\s+|\|\s*)?(?:\*\*|`)?\d{4}-\d{2}-\d{2}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatum.functions.exact import number, printed_places
+from probatum.functions.folds import folded
 from probatum.operators.chain import with_previous
 from probatum.operators.ranking import numbered
 
@@ -78,3 +79,36 @@ def tree_digests(files: DataFrame, tree: str, path: str, sha256: str, blocks: in
 def missing_extractions(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """What has to be extracted yet: keys wanted that the cache does not hold."""
     return wanted.select(*keys).distinct().join(cache.select(*keys), keys, "left_anti")
+
+
+def collapsed(candidates: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first candidate of each group by order, with how many it stands for; candidates of a group meet as partial minima."""
+    rest = [c for c in candidates.columns if c not in keys]
+    return candidates.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_b"), F.count("*").alias("n_candidates")).select(*keys, "_b.*", "n_candidates")
+
+
+def guarded_best(candidates: DataFrame, key: str, passes: str, value: str) -> DataFrame:
+    """The one value of a key's candidates that pass their guards: (key, value, reason); null with a reason where none or several do."""
+    each = candidates.groupBy(key).agg(
+        F.countDistinct(F.when(F.col(passes), F.col(value))).alias("_n"), F.min(F.when(F.col(passes), F.col(value))).alias("_v"), F.count("*").alias("_all")
+    )
+    reason = F.when(F.col("_n") == 1, "unique").when(F.col("_n") > 1, "several pass").otherwise("none passes")
+    return each.select(key, F.when(F.col("_n") == 1, F.col("_v")).alias(value), reason.alias("reason"))
+
+
+def most_common(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The commonest value of each group, the least at a tie, from counts rather than from the group."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.max("n").alias("n"), F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value))
+
+
+def table_votes(claims: DataFrame, captions: DataFrame, least: int = 12) -> DataFrame:
+    """Declared table numbers against the tables whose text holds the claims' passages: (text_id, declared, table_no, votes).
+
+    claims(text_id, declared, passage), captions(text_id, table_no, caption), a text's captions being few. Passages under
+    least folded characters do not vote; the table with most votes stands for a declared number, the first at a tie.
+    """
+    c = claims.select("text_id", "declared", folded("passage").alias("_p")).filter(F.length("_p") >= least)
+    t = captions.select("text_id", "table_no", folded("caption").alias("_c"))
+    votes = c.join(t, "text_id").filter(F.contains("_c", "_p")).groupBy("text_id", "declared", "table_no").agg(F.count("*").alias("votes"))
+    return votes.groupBy("text_id", "declared").agg(F.min_by("table_no", F.struct(-F.col("votes"), F.col("table_no"))).alias("table_no"), F.max("votes").alias("votes"))

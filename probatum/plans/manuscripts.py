@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.operators import manuscript as ms
+from probatum.operators.ranking import numbered
+from probatum.operators.survey import collapsed, guarded_best, most_common
 from probatum.session import checkpointed, spread, table
 
 
@@ -87,11 +89,34 @@ def reported_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(ms.reported_notes(a).select(F.explode("notes").alias("note"))).groupBy("note").agg(F.count("*").alias("n"))
 
 
+def assertion_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of every printed number among those of its reading and form, from 0."""
+    p = table(spark, sf_dir, "printed_numbers").select("number_id", "reading_id", "form", "char_offset")
+    return numbered(p, ["reading_id", "form"], ["char_offset", "number_id"], "position").select("number_id", "position")
+
+
+def dominant_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest kind of text in each project."""
+    return most_common(table(spark, sf_dir, "documents").select("project", "source"), ["project"], "source")
+
+
+def unique_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per brand and size the one price of its parts above 1,500, or why there is none."""
+    p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("label"), F.col("p_retailprice").cast("decimal(18,2)").alias("price"))
+    return guarded_best(p.withColumn("ok", F.col("price") > 1500), "label", "ok", "price")
+
+
+def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per artifact and printed value, its first occurrence and how many there are."""
+    p = table(spark, sf_dir, "printed_numbers").filter("num_value is not null").select("artifact_id", "num_value", "number_id", "line")
+    return collapsed(p, ["artifact_id", "num_value"], ["number_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         manuscript_coverage, stated_numbers, held_numbers, exempt_numbers, unmentioned_areas, classified_outputs, reread_values, origin_states,
-        oldest_commits, removed_entries, reported_notes,
+        oldest_commits, removed_entries, reported_notes, assertion_positions, dominant_sources, unique_prices, first_candidates,
     )
 }
 
@@ -123,6 +148,16 @@ ORACLES = {
         FROM artifacts LEFT JOIN s ON r = origin.repository AND c = origin.commit AND p = origin.path""",
     "oldest_commits": """
         SELECT origin.repository AS repository, origin.path AS path, sha256, min(origin.commit) AS first_commit, count(*) AS n FROM artifacts WHERE origin IS NOT NULL AND sha256 IS NOT NULL GROUP BY ALL""",
+    "assertion_positions": "SELECT number_id, row_number() OVER (PARTITION BY reading_id, form ORDER BY char_offset, number_id) - 1 AS position FROM printed_numbers",
+    "dominant_sources": """
+        WITH c AS (SELECT project, source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, source) AS k FROM c)
+        SELECT project, n, source FROM r WHERE k = 1""",
+    "unique_prices": """
+        WITH p AS (SELECT p_brand || '/' || p_size AS label, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part),
+        g AS (SELECT label, count(DISTINCT price) FILTER (price > 1500) AS n, min(price) FILTER (price > 1500) AS v FROM p GROUP BY label)
+        SELECT label, CASE WHEN n = 1 THEN v END AS price, CASE WHEN n = 1 THEN 'unique' WHEN n > 1 THEN 'several pass' ELSE 'none passes' END AS reason FROM g""",
+    "first_candidates": """
+        SELECT artifact_id, num_value, min(number_id) AS number_id, arg_min_null(line, number_id) AS line, count(*) AS n_candidates FROM printed_numbers WHERE num_value IS NOT NULL GROUP BY artifact_id, num_value""",
     "removed_entries": """
         WITH e AS (SELECT bib_file, lower(cite_key) AS k FROM bib_entries) SELECT bib_file, count(*) - count(DISTINCT k) AS n FROM e GROUP BY bib_file HAVING count(*) > count(DISTINCT k)""",
 }
