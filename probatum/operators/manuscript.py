@@ -158,10 +158,12 @@ def attribute(fragments: DataFrame, keys: DataFrame, artifacts: DataFrame, least
 
 
 def unmentioned(labels: DataFrame, texts: DataFrame, group: str) -> DataFrame:
-    """Labels that no text of a group mentions as a word: (group, label). Labels are single words and few."""
+    """Labels that no text of a group mentions as a word: (group, label). Labels are single words, a plan's own handful."""
+    names = sorted({r["label"].lower() for r in labels.select("label").distinct().collect() if r["label"]})
+    if not names:
+        return texts.select(group, F.lit("").alias("label")).limit(0)
     words = texts.select(group, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("label")).distinct()
-    groups = texts.select(group).distinct()
-    wanted = groups.crossJoin(F.broadcast(labels.select(F.lower("label").alias("label")).distinct()))  # labels: a plan's own, a handful
+    wanted = texts.select(group).distinct().withColumn("label", F.explode(F.array(*[F.lit(n) for n in names])))
     return wanted.join(words, [group, "label"], "left_anti")
 
 

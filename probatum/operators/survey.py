@@ -18,12 +18,14 @@ def bindings(printed: DataFrame, stored: DataFrame) -> DataFrame:
     is rounded to the places that are printed at all and joined on (places, value).
     """
     p = printed.select("printed").distinct().withColumns({"_p": printed_places("printed"), "_v": number("printed")}).filter(F.col("_v").isNotNull())
-    used = p.select("_p").distinct()
+    used = [r["_p"] for r in p.filter(F.col("_p").between(-3, 6)).select("_p").distinct().collect()]  # ten at most
+    if not used:
+        return stored.select(F.lit("").alias("printed"), "value_id", F.lit("").alias("conversion")).limit(0)
     scaled = stored.select("value_id", F.explode(F.array(
         F.struct(F.lit("none").alias("conversion"), F.col("value").cast("decimal(28,6)").alias("s")),
         F.struct(F.lit("percent").alias("conversion"), (F.col("value") * 100).cast("decimal(28,6)").alias("s")),
     )).alias("e")).select("value_id", "e.*")
-    each = scaled.crossJoin(F.broadcast(used))  # a row per number of places: a few
+    each = scaled.withColumn("_p", F.explode(F.array(*[F.lit(k) for k in sorted(used)])))
     up = F.expr("CASE " + " ".join(f"WHEN _p = {k} THEN round(s, {k})" for k in range(-3, 7)) + " END").cast("decimal(38,9)")
     down = F.expr("CASE " + " ".join(f"WHEN _p = {k} THEN round(s, {k}) - CASE WHEN s > 0 THEN 1 ELSE -1 END * CAST(power(10, {-k}) AS DECIMAL(18,6))" for k in range(-3, 7)) + " END").cast("decimal(38,9)")
     rounded = each.withColumn("_v", F.explode(F.array_distinct(F.array(up, down)))).distinct()

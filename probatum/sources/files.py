@@ -221,9 +221,9 @@ def ledger_lines(spark: SparkSession, root: str) -> DataFrame:
 def shallowest_results(files: DataFrame, depth: int = 3, most: int = 20, largest: int = 50 << 20) -> DataFrame:
     """Result files a survey opens: the shallowest first, at most `most` of bounded size: the limit is the feature."""
     deep = F.size(F.split("path", "/"))
-    base = files.agg(F.min(deep).alias("_least"))
-    kept = files.crossJoin(F.broadcast(base)).withColumn("depth", deep - F.col("_least")).filter((F.col("depth") < depth) & (F.col("length") <= largest))
-    return kept.filter(F.col("format").isin("tree", "table", "columnar", "array", "sqlite", "sheet")).orderBy("depth", "path").limit(most).drop("_least", "content")
+    least = files.agg(F.min(deep)).first()[0] or 0
+    kept = files.withColumn("depth", deep - least).filter((F.col("depth") < depth) & (F.col("length") <= largest))
+    return kept.filter(F.col("format").isin("tree", "table", "columnar", "array", "sqlite", "sheet")).orderBy("depth", "path").limit(most).drop("content")
 
 
 def suffix_of(path: str) -> str:
