@@ -17,11 +17,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatum.operators.ranking import numbered
-from probatum.session import checkpointed
 
 #: How far a weight moves from its mean over the training, as a share of it.
 SWING = 0.5
@@ -95,15 +94,14 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         F.count("*").alias("n_documents"), F.sum("tokens").alias("tokens_there"),
         F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"),
     )
-    total = checkpointed(used.agg(F.sum("tokens_used").alias("total")))
+    whole = F.sum("tokens_used").over(Window.partitionBy(F.lit(0)))  # over a row per target
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (
         targets.select("source", "target_share", "max_repeat")
         .join(used, "source", "left")
-        .crossJoin(F.broadcast(total))  # one row
         .select(
             "source", "target_share", "max_repeat", zero("n_documents"), zero("tokens_there"), zero("tokens_used"), zero("most_uses"),
-            F.round(F.coalesce("tokens_used", F.lit(0)) / F.greatest("total", F.lit(1)), 6).alias("reached_share"),
+            F.round(F.coalesce("tokens_used", F.lit(0)) / F.greatest(whole, F.lit(1)), 6).alias("reached_share"),
         )
     )
 

@@ -113,9 +113,10 @@ def pack(items: DataFrame, specs: dict[int, list[int]]) -> DataFrame:
 
     (pack_id, container_id, capacity_tokens, doc_id, piece, n_pieces, tokens): one row per piece.
     """
-    packs = items.sparkSession.createDataFrame([(p, max(c)) for p, c in specs.items()], "pack_id int, most int")
+    packs = F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(max(c)).cast("int").alias("most")) for p, c in specs.items()])
     each = (
-        items.crossJoin(F.broadcast(packs))  # as many rows as there are packs: a handful, by the caller
+        items.select("doc_id", "tokens", F.explode(packs).alias("pack"))
+        .select("doc_id", "tokens", "pack.*")
         .withColumn("n_pieces", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("most"))).cast("int"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
         .withColumn("size", F.least(F.col("most"), F.col("tokens") - F.col("piece") * F.col("most")).cast("int"))
