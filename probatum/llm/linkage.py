@@ -3,7 +3,8 @@
 Every record becomes a bag of terms over all its attributes: author with title word, windows of three
 telling title words, DOI. An inverted index of the terms, weighted by BM25 idf, retrieves candidates.
 Pruning is exact: of a query record only the rarest terms are looked up, as many as are needed so that
-the others together stay below `LEAST` of its own score, hence no pair at or above it is lost.
+the others together stay below half of `LEAST` of its own score, and pairs with the other half among the
+terms looked up are kept, hence no pair that shares `LEAST` of the score is lost.
 Candidates are compared attribute by attribute (titles with misspellings, abbreviations and joined
 words allowed); a pair stands where it is among the nearest of both sides and its kind of work (erratum,
 reply, part, yearly report) is the same; its confidence comes from the score and the gap to the
@@ -215,7 +216,7 @@ _compare.plain.__annotations__ = {k: pd.Series for k in ("wa", "ia", "na", "ya",
 
 
 def candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(q, c, hit): pairs whose shared terms weigh at least LEAST of the query's own; hit is that share."""
+    """(q, c, hit): pairs, with the share of the query's own weight that the terms looked up give them."""
     corpus_terms = checkpointed(corpus.select(F.col("id").alias("c"), F.explode(_terms("words", "names", "common", "told", "d")).alias("term")).select("c", F.xxhash64("term").alias("term")))
     query_terms = queries.select(F.col("id").alias("q"), F.explode(_terms("words", "names", "common", "told", "d")).alias("term")).select("q", F.xxhash64("term").alias("term"))
     size = corpus_terms.agg(F.countDistinct("c")).first()[0]
@@ -226,10 +227,10 @@ def candidates(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     # Weight of a term and all commoner ones; where it is below the bound, the term need not be looked up.
     commoner = Window.partitionBy("q").orderBy(F.col("w"), "term").rowsBetween(Window.unboundedPreceding, 0)
     looked = (
-        weighed.withColumn("tail", F.sum("w").over(commoner)).join(own, "q").filter(F.col("df").isNotNull()).filter(F.col("tail") >= LEAST * F.col("own"))
+        weighed.withColumn("tail", F.sum("w").over(commoner)).join(own, "q").filter(F.col("df").isNotNull()).filter(F.col("tail") >= LEAST / 2 * F.col("own"))
     )
     pairs = looked.select("q", "term", "w", "own").join(corpus_terms, "term").groupBy("q", "c").agg(F.sum("w").alias("s"), F.first("own").alias("own"))
-    # What the terms left out could add is below the bound itself, so half of it is kept for exactness.
+    # The terms left out weigh less than half of the bound together: a pair at the bound has the other half among those looked up.
     return pairs.withColumn("hit", F.col("s") / F.col("own")).select("q", "c", "hit")
 
 
