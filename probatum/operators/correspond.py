@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.functions.exact import number, printed_agree
+from probatum.functions.exact import printed_agree
 
 
 def side_pairs(sides: DataFrame, key: str = "claim_id") -> DataFrame:
@@ -23,8 +23,7 @@ def side_pairs(sides: DataFrame, key: str = "claim_id") -> DataFrame:
         "j -> struct(sides[i].name as left_name, sides[j].name as right_name, sides[i].raw as left_raw, sides[j].raw as right_raw))))"
     )
     rows = sides.filter(F.size("sides") > 0).select(key, F.explode(pair).alias("p")).select(key, "p.*")
-    both = number(F.col("left_raw")).isNotNull() & number(F.col("right_raw")).isNotNull()
-    return rows.withColumn("agrees", F.when(both, printed_agree(F.col("left_raw"), F.col("right_raw"))))
+    return rows.withColumn("agrees", printed_agree(F.col("left_raw"), F.col("right_raw")))
 
 
 def verdicts(pairs: DataFrame, key: str = "claim_id") -> DataFrame:

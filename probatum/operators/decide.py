@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatum.functions.exact import agrees, number, printed_places
+from probatum.functions.exact import agrees, printed_places
 from probatum.schema import ABSENT_REASON, RESOLUTION
 
 
@@ -61,10 +61,9 @@ def locate_rows(claims: DataFrame, table: DataFrame, on: list[tuple[str, str]],
 def decide(located: DataFrame, kind: str = "table", reported: str = "reported", stored: str = "stored", agree: Column | None = None) -> DataFrame:
     """located with execution, extraction, comparison, outcome and reason.
 
-    agree is the comparison of the two values, that at printed precision unless another is given.
+    agree is the comparison of the two values, that at printed precision (of any number of digits) unless another is given.
     """
-    s, r = number(F.col(stored).cast("string")), number(F.col(reported).cast("string"))
-    same = agrees(s, r, printed_places(F.col(reported).cast("string"))) if agree is None else agree
+    same = agrees(stored, reported) if agree is None else agree
     res = F.col("resolution")
     numeric = same.isNotNull()
     extraction = F.when((res == "resolved") & ~numeric, "invalid").otherwise(_lookup(res, RESOLUTION))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.functions.exact import agrees, convert, mean_agrees, number, printed_places, quantum, within
+from probatum.functions.exact import agrees, is_number, printed_places, shift_of, shifted, statistic_of_members, within
 from probatum.functions.folds import folded, resolve_udf
 from probatum.functions.numerals import CARDINALS, located_udf
 from probatum.operators.correspond import side_pairs, verdicts
@@ -115,7 +115,8 @@ def verify(evidence: DataFrame, artifacts: DataFrame, files: DataFrame, cells: D
     open_ = addressed.filter("blocked is null and kind <> 'quote'")
     resolved = checkpointed(resolve_addresses(open_, cells, texts))
     read = addressed.join(resolved, _ID, "left")
-    read = read.withColumn("value", convert(number(F.col("raw")), F.col("conversion")))
+    # Values stay text: a conversion moves the point and keeps every digit.
+    read = read.withColumn("value", F.when(is_number("raw"), shifted("raw", shift_of("conversion"))))
     read = read.withColumn("why", F.when((F.col("resolution") == "resolved") & F.col("value").isNull(), "value_not_numeric").otherwise(F.col("why")))
     bad = F.col("why").isNotNull()
     whole = read.groupBy("claim_id", "ord").agg(
@@ -124,11 +125,10 @@ def verify(evidence: DataFrame, artifacts: DataFrame, files: DataFrame, cells: D
         F.min_by("resolution", F.when(bad, F.col("pos"))).alias("bad_resolution"),
         F.min_by("raw", "pos").alias("raw"),
         F.min_by("value", "pos").alias("value"),
-        F.count("value").alias("n"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.sort_array(F.collect_list("value")).alias("values"),  # the members an author declared
+        F.collect_list("value").alias("values"),  # the members an author declared
         F.min_by("validity", F.expr(rank_case("validity", VALIDITY_RANK))).alias("validity"),
         F.min("path").alias("path"),
-        F.collect_list(F.struct("name", F.coalesce(F.when(F.col("conversion").isNotNull(), F.col("value").cast("string")), F.col("raw")).alias("raw"))).alias("read_sides"),
+        F.collect_list(F.struct("name", F.coalesce("value", F.col("raw")).alias("raw"))).alias("read_sides"),
     )
     e = evidence.drop("sides").join(whole, ["claim_id", "ord"], "left")
 
@@ -137,20 +137,13 @@ def verify(evidence: DataFrame, artifacts: DataFrame, files: DataFrame, cells: D
     q = e.filter("kind = 'quote' and blocked is null").join(texts, "path").withColumn("_q", resolve_udf("quote", "text")).select("claim_id", "ord", F.col("_q.state").alias("_state"))
     e = e.withColumn("key", F.concat_ws("\u0001", "claim_id", "ord")).join(agreed, "key", "left").join(q, ["claim_id", "ord"], "left").drop("key")
 
-    r, p = number(F.col("reported")), printed_places("reported")
-    middle = F.col("values")
-    median2 = F.try_element_at(middle, F.floor((F.size(middle) + 1) / 2).cast("int")) + F.try_element_at(middle, (F.floor(F.size(middle) / 2) + 1).cast("int"))
-    statistic = (
-        F.when(F.col("statistic") == "mean", mean_agrees(F.col("sum"), F.col("n"), r, p))
-        .when(F.col("statistic") == "median", F.abs(median2 - r * 2) <= quantum(p))
-        .when(F.col("statistic") == "count", agrees(F.col("n").cast("decimal(38,9)"), r, p))
-        .when(F.col("statistic") == "sum", agrees(F.col("sum").cast("decimal(38,9)"), r, p))
-        .when(F.col("statistic") == "min", agrees(F.col("min"), r, p))
-        .when(F.col("statistic") == "max", agrees(F.col("max"), r, p))
-    )
-    plain = F.when(F.col("mode").isin("absolute", "relative"), within(F.col("value"), r, "mode", number(F.col("tolerance")))).otherwise(agrees(F.col("value"), r, p))
+    members = lambda c: F.when((F.col("kind") == "aggregate") & F.col("why").isNull(), F.col(c))
+    statistic = statistic_of_members(members("statistic"), members("values"), members("reported"))
+    tolerant = F.col("mode").isin("absolute", "relative")
+    bounded = lambda c: F.when(tolerant, F.col(c))
+    plain = F.when(tolerant, within(bounded("value"), bounded("reported"), "mode", bounded("tolerance"))).otherwise(agrees("value", "reported"))
     same = F.when(F.col("kind") == "aggregate", statistic).when(F.col("kind") == "correspondence", F.col("_pairs") == "match").otherwise(plain)
-    misplaced = F.col("places").isNotNull() & (F.col("places") != p)
+    misplaced = F.col("places").isNotNull() & (F.col("places") != printed_places("reported"))
     quote_why = F.when(F.col("_state") == "found", "passage_present").when(F.col("_state") == "ambiguous", "quotation_ambiguous").otherwise("passage_absent")
     reason = (
         F.when(F.col("kind").isNull(), "not_offered")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from probatum.schema import FRESHNESS_RANK, rank_case
 from probatum.session import checkpointed
 
 
-def upstream(edges: DataFrame, starts: DataFrame | None = None, longest: int = 64) -> DataFrame:
+def upstream(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(node, above, distance): everything node rests on, at its shortest distance; cycles end.
 
     edges(node, above), node resting directly on above. The frontier is joined with the edges until it
@@ -19,7 +21,7 @@ def upstream(edges: DataFrame, starts: DataFrame | None = None, longest: int = 6
     frontier = direct if starts is None else direct.join(starts.select("node").distinct(), "node", "left_semi")
     found = checkpointed(frontier.select("node", "above", F.lit(1).alias("distance")))
     frontier = found
-    for distance in range(2, longest + 1):
+    for distance in itertools.count(2):
         step = (
             frontier.select("node", F.col("above").alias("_via"))
             .join(direct.select(F.col("node").alias("_via"), "above"), "_via")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatum.functions.arrow import arrow
-from probatum.functions.exact import number, printed_agree, printed_places, significant_digits
+from probatum.functions.exact import number, printed_agree, printed_places, same_number, significant_digits
 from probatum.functions.folds import folded
 from probatum.functions.numerals import inventory
 from probatum.operators.survey import bindings
@@ -114,7 +114,7 @@ def reported_notes(assertions: DataFrame) -> DataFrame:
             F.when((F.size("_said") > 0) & ~agrees("_said"), F.lit("reported_not_in_claim")),
             F.when((F.size("_quoted") > 0) & ~agrees("_quoted"), F.lit("reported_not_in_manuscript")),
             F.when((F.size("_said") == 0) & (F.size("_quoted") == 0), F.lit("reported_uncompared")),
-            F.when(printed_mode & F.col("matched") & (s != r) & (significant_digits("reported") < 2), F.lit("coarse_precision")),
+            F.when(printed_mode & F.col("matched") & ~same_number("stored", "reported") & (significant_digits("reported") < 2), F.lit("coarse_precision")),
             F.when(printed_mode & F.col("matched") & half(s) & half(r) & ((s < level) != (r < level)), F.lit("rounding_crosses_threshold")),
             F.when(loose, F.lit("loose_tolerance")),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.functions.exact import number, printed_places
+from probatum.functions.exact import is_number, key_of, printed_places, roundings, written
 from probatum.functions.folds import folded
 from probatum.operators.chain import with_previous
 from probatum.operators.ranking import numbered
@@ -14,24 +14,22 @@ from probatum.operators.ranking import numbered
 def bindings(printed: DataFrame, stored: DataFrame) -> DataFrame:
     """Printed numbers a stored value rounds to, either way at a tie, also as a percentage: (printed, value_id, conversion).
 
-    printed(printed string), stored(value_id, value decimal). Instead of comparing all with all, each stored value
-    is rounded to the places that are printed at all and joined on (places, value).
+    printed(printed string), stored(value_id, value), value a number or its text, both of any number of digits. Instead of
+    comparing all with all, a stored value is rounded to those places that are printed and are fewer than its own, and
+    joined on (places, number); printed with as many places as it has or more, a number must be the value itself.
+    What is collected is the different counts of places, at most one for each digit of the longest number printed.
     """
-    p = printed.select("printed").distinct().withColumns({"_p": printed_places("printed"), "_v": number("printed")}).filter(F.col("_v").isNotNull())
-    used = [r["_p"] for r in p.filter(F.col("_p").between(-3, 6)).select("_p").distinct().collect()]  # ten at most
-    if not used:
-        return stored.select(F.lit("").alias("printed"), "value_id", F.lit("").alias("conversion")).limit(0)
-    scaled = stored.select("value_id", F.explode(F.array(
-        F.struct(F.lit("none").alias("conversion"), F.col("value").cast("decimal(28,6)").alias("s")),
-        F.struct(F.lit("percent").alias("conversion"), (F.col("value") * 100).cast("decimal(28,6)").alias("s")),
-    )).alias("e")).select("value_id", "e.*")
-    each = scaled.withColumn("_p", F.explode(F.array(*[F.lit(k) for k in sorted(used)])))
-    up = F.expr("CASE " + " ".join(f"WHEN _p = {k} THEN round(s, {k})" for k in range(-3, 7)) + " END").cast("decimal(38,9)")
-    down = F.expr("CASE " + " ".join(f"WHEN _p = {k} THEN round(s, {k}) - CASE WHEN s > 0 THEN 1 ELSE -1 END * CAST(power(10, {-k}) AS DECIMAL(18,6))" for k in range(-3, 7)) + " END").cast("decimal(38,9)")
-    rounded = each.withColumn("_v", F.explode(F.array_distinct(F.array(up, down)))).distinct()
-    q = F.expr("CASE " + " ".join(f"WHEN _p = {k} THEN CAST(power(10, {-k}) AS DECIMAL(18,6))" for k in range(-3, 7)) + " END")
-    met = rounded.join(p, ["_p", "_v"]).filter(F.abs(F.col("s") - F.col("_v")) * 2 <= q)
-    return met.select("printed", "value_id", "conversion").distinct()
+    p = printed.select(F.trim("printed").alias("printed")).filter(is_number("printed")).distinct().select("printed", printed_places("printed").alias("_places"), key_of("printed").alias("_key"))
+    used = sorted(r["_places"] for r in p.select("_places").distinct().collect())
+    every = F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")
+    v = stored.select("value_id", F.col("value").cast("string").alias("_v")).filter(is_number("_v"))
+    v = v.withColumn("_c", F.explode(F.array(F.struct(F.lit("none").alias("conversion"), F.lit(0).alias("shift")), F.struct(F.lit("percent").alias("conversion"), F.lit(2).alias("shift"))))).select("value_id", "_v", "_c.*")
+    v = v.withColumns({"_own": written("_v", F.col("shift"))["places"].cast("int"), "_key": key_of("_v", F.col("shift"))})
+    fewer = v.withColumn("_places", F.explode(F.filter(every, lambda k: k < F.col("_own"))))
+    fewer = fewer.withColumn("_key", F.explode(roundings("_v", F.col("_places"), F.col("shift"))))
+    met = fewer.join(p, ["_places", "_key"]).select("printed", "value_id", "conversion")
+    same = v.join(p, "_key").filter("_places >= _own").select("printed", "value_id", "conversion")
+    return met.unionByName(same).distinct()
 
 
 def index_like(rows: DataFrame, order: list[str], column: str, least_rows: int = 10, least_share: float = 0.75) -> DataFrame:

@@ -27,9 +27,9 @@ def stated_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed numbers of two places that some order's total holds."""
-    p = table(spark, sf_dir, "printed_numbers").filter("form = 'decimal' and num_value rlike '^[0-9]+[.][0-9]{2}$'").select(F.col("num_value").alias("printed"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("output_id"), (F.col("o_totalprice").cast("decimal(18,2)") / 1000).cast("decimal(18,4)").alias("value"))
+    """Printed numbers that some order's total, in thousands, holds."""
+    p = table(spark, sf_dir, "printed_numbers").select(F.col("num_value").alias("printed"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("output_id"), (F.col("o_totalprice").cast("decimal(18,2)") * F.lit("0.001").cast("decimal(4,3)")).alias("value"))
     return ms.held(p, o)
 
 
@@ -127,10 +127,11 @@ ORACLES = {
                           count(*) FILTER (rule IS NULL AND standing NOT IN ('bound', 'set_aside_with_a_reason')) AS n_unbound FROM printed_numbers GROUP BY 1)
         SELECT *, CASE WHEN n > n_exempt THEN round(n_bound / (n - n_exempt), 6) END AS share FROM c""",
     "held_numbers": """
-        WITH p AS (SELECT DISTINCT num_value AS printed, CAST(num_value AS DECIMAL(38,9)) AS v FROM printed_numbers WHERE form = 'decimal' AND regexp_full_match(num_value, '[0-9]+[.][0-9]{2}')),
-        o AS (SELECT o_orderkey, CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 10 AS DECIMAL(18,0)) AS DECIMAL(28,9)) / 10000 AS approx, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders),
-        s AS (SELECT o_orderkey, CAST(round(CAST(t AS DECIMAL(28,6)) * CAST(0.001 AS DECIMAL(4,3)), 4) AS DECIMAL(28,4)) AS x FROM o)
-        SELECT printed, min(o_orderkey) AS output_id FROM p, s WHERE abs(x - v) * 2 <= 0.01 OR abs(x * 100 - v) * 2 <= 0.01 GROUP BY printed""",
+        WITH p AS (SELECT DISTINCT num_value AS printed, CAST(num_value AS DECIMAL(38,9)) AS v,
+                          CAST('1e-' || CASE WHEN contains(num_value, '.') THEN length(split_part(num_value, '.', 2)) ELSE 0 END AS DECIMAL(18,9)) AS q
+                   FROM printed_numbers WHERE num_value IS NOT NULL),
+        s AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)) AS x FROM orders)
+        SELECT printed, min(o_orderkey) AS output_id FROM p, s WHERE abs(x - v) * 2 <= q OR abs(x * 100 - v) * 2 <= q GROUP BY printed""",
     "unmentioned_areas": """
         WITH w AS (SELECT DISTINCT project, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS label FROM documents)
         SELECT g.project, area AS label FROM (SELECT DISTINCT project FROM documents WHERE text IS NOT NULL) g, subject_areas a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.project IS NOT DISTINCT FROM g.project AND w.label = a.area)""",

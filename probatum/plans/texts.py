@@ -142,8 +142,8 @@ def passage_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def survey_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed numbers of two decimal places or fewer that a part's price rounds to, as it is or as a percentage."""
-    p = table(spark, sf_dir, "printed_numbers").filter("form = 'decimal' and num_value rlike '^-?[0-9]+([.][0-9]{1,2})?$'").select(F.col("num_value").alias("printed"))
+    """Printed numbers that a part's price rounds to, as it is or as a percentage."""
+    p = table(spark, sf_dir, "printed_numbers").select(F.col("num_value").alias("printed"))
     s = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("value_id"), F.col("p_retailprice").cast("decimal(18,2)").alias("value"))
     return bindings(p, s).groupBy("printed", "conversion").agg(F.count("*").alias("n_values"), F.min("value_id").alias("first_value"))
 
@@ -181,9 +181,9 @@ ORACLES = {
         WITH q AS (SELECT covered_id, reading_id, strpos(text, quote) - 1 AS lo, length(quote) AS len FROM covered JOIN readings USING (artifact_id, page) WHERE quote <> '' AND strpos(text, quote) > 0)
         SELECT number_id, count(*) AS n_quotes, min(covered_id) AS first_quote FROM printed_numbers JOIN q USING (reading_id) WHERE lo <= char_offset AND char_offset < lo + len GROUP BY number_id""",
     "survey_candidates": """
-        WITH p AS (SELECT DISTINCT num_value AS printed, CAST(num_value AS DECIMAL(38,9)) AS v, CASE WHEN contains(num_value, '.') THEN length(split_part(num_value, '.', 2)) ELSE 0 END AS places
-                   FROM printed_numbers WHERE form = 'decimal' AND regexp_full_match(num_value, '-?[0-9]+([.][0-9]{1,2})?')),
+        WITH p AS (SELECT DISTINCT num_value AS printed, CAST(num_value AS DECIMAL(38,9)) AS v,
+                          CAST('1e-' || CASE WHEN contains(num_value, '.') THEN length(split_part(num_value, '.', 2)) ELSE 0 END AS DECIMAL(18,9)) AS q
+                   FROM printed_numbers WHERE num_value IS NOT NULL),
         s AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS x, 'none' AS conversion FROM part UNION ALL SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) * 100, 'percent' FROM part)
-        SELECT printed, conversion, count(*) AS n_values, min(p_partkey) AS first_value FROM p, s
-        WHERE abs(x - v) * 2 <= CASE places WHEN 0 THEN 1 WHEN 1 THEN 0.1 ELSE 0.01 END GROUP BY printed, conversion""",
+        SELECT printed, conversion, count(*) AS n_values, min(p_partkey) AS first_value FROM p, s WHERE abs(x - v) * 2 <= q GROUP BY printed, conversion""",
 }

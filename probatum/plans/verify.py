@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.functions.exact import convert, number, within
+from probatum.functions.exact import agrees, mean_agrees, rendered, shift_of, within
 from probatum.operators.aggregate import STATISTICS, exact_median, exact_statistics, statistic_agrees
 from probatum.operators.correspond import side_pairs, verdicts
 from probatum.operators.decide import aliases, decide, locate_rows, misplaced, outcome_counts, pin_state
@@ -99,7 +99,7 @@ def verify_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").cast(_MONEY).alias("price"))
     j = line.join(part, "l_partkey").withColumn("reported", (F.col("q") * F.col("price")).cast(_MONEY))
     j = j.withColumn("mode", F.when(F.col("l_linenumber") % 2 == 0, "absolute").otherwise("relative"))
-    tolerance = F.when(F.col("mode") == "absolute", F.lit("500.00")).otherwise(F.lit("0.05")).cast("decimal(18,2)")
+    tolerance = F.when(F.col("mode") == "absolute", F.lit("500.00")).otherwise(F.lit("0.05"))
     ok = within(F.col("stored"), F.col("reported"), "mode", tolerance)
     return j.withColumn("agrees", ok).groupBy("mode", "agrees").agg(F.count("*").alias("n"), F.sum("stored").alias("stored_sum"))
 
@@ -108,8 +108,8 @@ def verify_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discounts stored as fractions and printed as whole percentages, every ninth line one too high."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").cast(_MONEY).alias("d"))
     printed = (F.col("d") * 100).cast("decimal(18,0)") + F.when(F.col("l_orderkey") % 9 == 0, F.lit(1)).otherwise(F.lit(0))
-    located = line.withColumn("reported", printed.cast("decimal(18,0)").cast("string")).withColumn("stored", convert(F.col("d"), F.lit("percent")).cast("string")).withColumn("resolution", F.lit("resolved"))
-    return outcome_counts(decide(located), "l_linenumber", "outcome", "reason")
+    located = line.withColumn("reported", printed.cast("decimal(18,0)").cast("string")).withColumn("stored", F.col("d").cast("string")).withColumn("resolution", F.lit("resolved"))
+    return outcome_counts(decide(located, agree=agrees("stored", "reported", shift_of(F.lit("percent")))), "l_linenumber", "outcome", "reason")
 
 
 def verify_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def verify_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     reported = F.round(value.cast("decimal(28,6)"), 1).cast("decimal(28,1)") + off
     each = each.withColumn("reported", reported.cast("decimal(28,1)"))
     named = {c: F.col(c) for c in ("sum", "n", "min", "max", "median2")}
-    ok = statistic_agrees(F.col("statistic"), named, F.col("reported"), F.lit(1))
+    ok = statistic_agrees(F.col("statistic"), named, F.col("reported"))
     return each.withColumn("comparison", F.when(ok, "match").otherwise("mismatch")).select(*keys, "statistic", F.col("reported").cast("string").alias("reported"), "comparison")
 
 
@@ -154,6 +154,34 @@ def verify_correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(side_pairs(sides))
 
 
+def verify_exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of ten to the -12 up to ten to the 30, written plainly or with an exponent, printed to four significant
+    digits (a third of them one unit off), compared at printed precision, within an absolute and within a relative tolerance."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    m = 1000000 + (F.col("l_orderkey") * 7919 + F.col("l_partkey") * 31 + F.col("l_linenumber")) % 9000000
+    e = ((F.col("l_orderkey") + F.col("l_partkey")) % 43 - 12).cast("int")
+    r = F.floor((m + 500) / 1000) + F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)
+    n = line.select("l_linenumber", m.cast("long").alias("m"), e.alias("e"), r.cast("long").alias("r"))
+    # Seven digits before the point; where the exponent is negative, every other line writes all places out.
+    written = lambda c, drop: F.concat(F.col(c).cast("string"), F.lit("e"), (F.col("e") - drop).cast("string"))
+    n = n.withColumn("stored", F.when(F.col("l_linenumber") % 2 == 0, rendered(written("m", 6))).otherwise(written("m", 6)))
+    n = n.withColumn("reported", F.when(F.col("l_linenumber") % 2 == 0, written("r", 3)).otherwise(F.concat(F.substring(F.col("r").cast("string"), 1, 1), F.lit("."), F.substring(F.col("r").cast("string"), 2, 9), F.lit("e"), (F.col("e") + F.length(F.col("r").cast("string")) - 4).cast("string"))))
+    mode = F.when(F.col("l_linenumber") % 3 == 0, "absolute").when(F.col("l_linenumber") % 3 == 1, "relative").otherwise("printed")
+    n = n.withColumn("mode", mode)
+    tolerance = F.when(F.col("mode") == "absolute", F.concat(F.lit("7e"), (F.col("e") - 4).cast("string"))).otherwise("0.0002")
+    n = n.withColumn("tolerance", tolerance).withColumn("agrees", F.when(F.col("mode") == "printed", agrees("stored", "reported")).otherwise(within("stored", "reported", "mode", "tolerance")))
+    return n.groupBy("e", "mode").agg(F.count_if("agrees").alias("n_agree"), F.count_if(~F.col("agrees")).alias("n_differ"))
+
+
+def verify_small_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of values of a few units in the fifteenth place, printed to the thirteenth, every fifth one unit off."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice").cast(_MONEY) * F.lit("0.0000000000001").cast("decimal(13,13)")).cast("decimal(28,15)").alias("v"))
+    stats = exact_statistics(line, ["l_suppkey"], "v")
+    units = F.floor(F.col("sum") * F.lit(10000000000000).cast("decimal(14,0)") / F.col("n") + F.lit("0.5").cast("decimal(2,1)")).cast("long") + F.when(F.col("l_suppkey") % 5 == 0, 1).otherwise(0)
+    each = stats.withColumn("reported", F.concat(units.cast("string"), F.lit("e-13")))
+    return each.select("l_suppkey", "n", "reported", mean_agrees(F.col("sum"), F.col("n"), "reported").alias("agrees"))
+
+
 def pin_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts with a pinned digest against the bytes at their path: here, documents by path."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "doc_path", F.sha2(F.col("text"), 256).alias("actual"))
@@ -184,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         verify_table_cells, outcomes_by_reason, assess_policy_profiles, stricter_violations, verify_positional, verify_tolerance,
-        verify_conversion, verify_places, verify_aggregates, verify_correspondence, pin_states, artifact_aliases, artifact_pins,
+        verify_conversion, verify_places, verify_aggregates, verify_correspondence, verify_exponents, verify_small_means, pin_states, artifact_aliases, artifact_pins,
     )
 }
 
@@ -247,6 +275,15 @@ ORACLES = {
         p AS (SELECT o_orderkey, (2 * abs(a - b) <= 0.1) AS ab, (2 * abs(a - c) <= 1) AS ac, (2 * abs(b - c) <= 1) AS bc FROM o)
         SELECT o_orderkey AS claim_id, CASE WHEN ab AND ac AND bc THEN 'match' ELSE 'mismatch' END AS comparison, CAST(3 AS BIGINT) AS n_pairs,
                CAST((NOT ab)::INT + (NOT ac)::INT + (NOT bc)::INT AS BIGINT) AS n_differing FROM p""",
+    "verify_exponents": """
+        WITH k AS (SELECT l_linenumber AS i, 1000000 + (l_orderkey * 7919 + l_partkey * 31 + l_linenumber) % 9000000 AS m, CAST((l_orderkey + l_partkey) % 43 - 12 AS INTEGER) AS e, l_partkey FROM lineitem),
+        r AS (SELECT i, e, m, (m + 500) // 1000 + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS r, CASE i % 3 WHEN 0 THEN 'absolute' WHEN 1 THEN 'relative' ELSE 'printed' END AS mode FROM k),
+        a AS (SELECT e, mode, CASE mode WHEN 'absolute' THEN abs(m - r * 1000) <= 700 WHEN 'relative' THEN abs(m - r * 1000) * 5 <= r ELSE 2 * abs(m - r * 1000) <= 1000 END AS ok FROM r)
+        SELECT e, mode, count(*) FILTER (ok) AS n_agree, count(*) FILTER (NOT ok) AS n_differ FROM a GROUP BY ALL""",
+    "verify_small_means": """
+        WITH v AS (SELECT l_suppkey, count(*) AS n, sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS cents FROM lineitem GROUP BY 1),
+        u AS (SELECT l_suppkey, n, cents, CAST((2 * cents + 100 * n) // (200 * n) AS BIGINT) + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS units FROM v)
+        SELECT l_suppkey, n, units || 'e-13' AS reported, 2 * abs(cents - n * units * 100) <= n * 100 AS agrees FROM u""",
     "pin_states": """
         SELECT doc_path AS artifact_id,
                CASE WHEN doc_id % 10 = 3 OR text IS NULL THEN 'artifact_absent' WHEN doc_id % 5 = 0 THEN 'unpinned_artifact'

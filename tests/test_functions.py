@@ -1,4 +1,5 @@
 import decimal
+import fractions
 import random
 
 import pytest
@@ -24,10 +25,44 @@ def test_agreement_is_rounding(spark):
         d = decimal.Decimal(s).quantize(decimal.Decimal(1).scaleb(-p)) + decimal.Decimal(rng.choice([-1, 0, 0, 1])).scaleb(-p)
         rows.append((s, str(d)))
     rows += [("4.25", "4.2"), ("4.25", "4.3"), ("4.25", "4.4"), ("0." + "1" * 60, "0.1"), ("1" * 50, "1" * 49 + "2"), ("12000", "1.2e4"), ("12499", "1.2e4"), ("12501", "1.2e4")]
-    got = spark.createDataFrame(rows, "s string, r string").select("s", "r", exact.text_agrees(F.col("s"), F.col("r")).alias("a")).collect()
+    for _ in range(400):
+        e, k = rng.randint(-40, 40), rng.randint(1, 12)
+        m = "".join(rng.choice("0159") for _ in range(k))
+        s = f"{rng.choice(['', '-'])}{m}e{e}"
+        d = decimal.Decimal(s).quantize(decimal.Decimal(1).scaleb(e + rng.randint(0, k)), rng.choice([decimal.ROUND_FLOOR, decimal.ROUND_CEILING, decimal.ROUND_HALF_EVEN]))
+        rows.append((format(decimal.Decimal(s), "f") if rng.random() < 0.5 else s, str(d)))
+    rows += [("3.2e-11", "5.0e-12"), ("0.00000000012", "0.00000000034"), ("3.24e-11", "3.2e-11"), ("1e30", "1.0e30"), ("0", "0.00"), ("-0.004", "0.00"), ("0.5", "0"), ("-0.5", "-1"), ("9.96", "10.0")]
+    got = spark.createDataFrame(rows, "s string, r string").select("s", "r", exact.agrees("s", "r").alias("a")).collect()
     assert all(g["a"] == reference_agrees(g["s"], g["r"]) for g in got), [g for g in got if g["a"] != reference_agrees(g["s"], g["r"])][:5]
 
 
+def test_tolerances_means_and_renderings(spark):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(400):
+        e = rng.randint(-30, 30)
+        s, r = f"{rng.randint(-999999, 999999)}e{e}", f"{rng.randint(-999, 999)}e{e + 3 * rng.randint(0, 1)}"
+        rows.append((s, r, rng.choice(["absolute", "relative"]), rng.choice(["0.05", "1e-12", f"4e{e}", "1" * 30])))
+    rows += [("1" * 40, "1" * 39 + "2", "absolute", "1"), ("1" * 40, "1" * 39 + "3", "absolute", "1"), ("3.2e-11", "5.0e-12", "relative", "0.5"), ("x", "1", "absolute", "1"), (None, "1", "relative", "1")]
+    got = spark.createDataFrame(rows, "s string, r string, m string, t string").select("*", exact.within("s", "r", "m", "t").alias("a")).collect()
+    for g in got:
+        if g["s"] is None or g["s"] == "x":
+            assert g["a"] is None
+            continue
+        s, r, t = (fractions.Fraction(decimal.Decimal(g[c])) for c in "srt")
+        assert g["a"] == (abs(s - r) <= (t * abs(r) if g["m"] == "relative" else t)), g
+    means = [("1e-12", 3, "3e-13"), ("1e-12", 3, "4e-13"), ("10", 4, "2.5"), ("10", 4, "2"), ("10", 4, "3"), ("10", 4, "4"), ("1" * 38, 7, "1"), (None, 3, "1"), ("5", 0, "1")]
+    got = spark.createDataFrame(means, "s string, n int, r string").select(exact.mean_agrees(F.col("s"), F.col("n"), "r").alias("a")).collect()
+    assert [g["a"] for g in got] == [True, False, True, True, True, False, False, None, None]
+    shown = [("5e1", "50"), ("1.50e-3", "0.00150"), ("-12.5", "-12.5"), ("1e300", "1e300"), ("0.10e1", "1.0"), ("x", None), ("007", "7")]
+    got = spark.createDataFrame(shown, "s string, w string").select("w", exact.rendered("s").alias("a")).collect()
+    assert [g["a"] for g in got] == [w for _, w in shown]
+    moved = spark.createDataFrame([("0.0426",), ("5e-1",)], "s string").select(exact.rendered(exact.shifted("s", F.lit(2))).alias("a")).collect()
+    assert [g["a"] for g in moved] == ["4.26", "50"]
+    members = spark.createDataFrame([("mean", ["1e-12", "2e-12"], "1.5e-12"), ("median", ["1", "2", "4", "x"], "3"), ("median", ["1", "2", "4"], "2"), ("sum", [], "0"), ("count", ["1", "9"], "2")], "k string, v array<string>, r string")
+    assert [g["a"] for g in members.select(exact.statistic_of_members("k", "v", "r").alias("a")).collect()] == [True, None, True, None, True]
+
+
 def test_numbers_and_nulls(spark):
     df = spark.createDataFrame([("1e3",), ("NaN",), ("inf",), (None,), ("+2.50",), ("x",), ("",), ("-.5",)], "t string")
     got = [r["v"] for r in df.select(exact.number("t").alias("v")).collect()]

@@ -86,6 +86,9 @@ def test_lineage(spark):
     states = spark.createDataFrame([("a", "current"), ("b", "current"), ("c", "stale"), ("d", "never_rerun")], "node string, state string")
     assert {r["node"]: (r["state"], r["cause"]) for r in worst_upstream(states, upstream(e)).collect()}["d"] == ("stale", "c")
     assert upstream(e.limit(0)).count() == 0
+    chain = spark.range(70).selectExpr("cast(id as string) node", "cast(id + 1 as string) above")
+    got = upstream(chain, chain.filter("node = '0'"))
+    assert got.count() == 70 and got.agg(F.max("distance")).first()[0] == 70
 
 
 def test_components_by_brute_force(spark):
