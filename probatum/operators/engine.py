@@ -134,7 +134,7 @@ def verify(evidence: DataFrame, artifacts: DataFrame, files: DataFrame, cells: D
 
     pairs = side_pairs(e.filter("kind = 'correspondence' and blocked is null and why is null").select(F.concat_ws("\u0001", "claim_id", "ord").alias("key"), F.col("read_sides").alias("sides")), "key")
     agreed = verdicts(pairs, "key").select("key", F.col("comparison").alias("_pairs"))
-    q = e.filter("kind = 'quote' and blocked is null").join(texts, "path").withColumn("_q", resolve_udf("quote", "text")).select("claim_id", "ord", F.col("_q.state").alias("_state"))
+    q = e.filter("kind = 'quote' and blocked is null").join(texts.filter("text is not null"), "path").withColumn("_q", resolve_udf("quote", "text")).select("claim_id", "ord", F.col("_q.state").alias("_state"))
     e = e.withColumn("key", F.concat_ws("\u0001", "claim_id", "ord")).join(agreed, "key", "left").join(q, ["claim_id", "ord"], "left").drop("key")
 
     members = lambda c: F.when((F.col("kind") == "aggregate") & F.col("why").isNull(), F.col(c))
@@ -144,7 +144,7 @@ def verify(evidence: DataFrame, artifacts: DataFrame, files: DataFrame, cells: D
     plain = F.when(tolerant, within(bounded("value"), bounded("reported"), "mode", bounded("tolerance"))).otherwise(agrees("value", "reported"))
     same = F.when(F.col("kind") == "aggregate", statistic).when(F.col("kind") == "correspondence", F.col("_pairs") == "match").otherwise(plain)
     misplaced = F.col("places").isNotNull() & (F.col("places") != printed_places("reported"))
-    quote_why = F.when(F.col("_state") == "found", "passage_present").when(F.col("_state") == "ambiguous", "quotation_ambiguous").otherwise("passage_absent")
+    quote_why = F.when(F.col("_state") == "found", "passage_present").when(F.col("_state") == "ambiguous", "quotation_ambiguous").when(F.col("_state").isNull(), "extractor_missing").otherwise("passage_absent")
     reason = (
         F.when(F.col("kind").isNull(), "not_offered")
         .when(F.col("blocked").isNotNull(), F.col("blocked"))

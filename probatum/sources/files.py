@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.schema import FORMATS, NEVER_OPENED, UNSUPPORTED
+from probatum.session import importable
 from probatum.sources.pages import PAGE_READERS
 from probatum.sources.trees import load_json, load_yaml, walk
 
@@ -35,6 +36,7 @@ def listed(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    importable(spark)
     files = reader.load(root)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     return files.select("path", suffix.alias("suffix"), format_of(suffix).alias("format"), "length", F.sha2("content", 256).alias("sha256"), "content")
@@ -80,40 +82,51 @@ def render(value) -> tuple[str | None, str, bool]:
     return str(value), "int" if isinstance(value, int) else "string", False
 
 
-def _table_rows(header: list[str], rows, kind: str, name: str | None) -> Iterator[tuple]:
+def _table_rows(header: list[str], rows, kind: str, name: str | None, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
     if len(set(header)) != len(header):
         raise ValueError("repeated column")
+    kept = [(i, column) for i, column in enumerate(header) if wanted is None or column in wanted]
     for n, row in enumerate(rows):
-        for i, column in enumerate(header):
+        for i, column in kept:
             raw, native, container = render(row[i] if i < len(row) else "")
             yield ("ok", kind, name, n, column, None, None, raw, native, container)
 
 
-def _delimited(content: bytes, suffix: str) -> Iterator[tuple]:
+def _delimited(content: bytes, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
     text = content.decode("utf-8-sig")
     first = text.split("\n", 1)[0]
     rows = csv.reader(io.StringIO(text, newline=""), delimiter=sniff(first, suffix))
     header = [h.strip() for h in next(rows, [])]
-    yield from _table_rows(header, ([c.strip() for c in r] for r in rows if r), "table", None)
+    yield from _table_rows(header, ([c.strip() for c in r] for r in rows if r), "table", None, wanted)
 
 
-def _tree(content: bytes, suffix: str) -> Iterator[tuple]:
+def _tree(content: bytes, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
     text = content.decode("utf-8")
     for leaf in walk(load_json(text) if suffix == "json" else load_yaml(text)):
         yield ("ok", "pointer", None, None, None, leaf["pointer"], None, leaf["raw"], leaf["native_type"], leaf["is_container"])
 
 
-def _columnar(content: bytes, suffix: str) -> Iterator[tuple]:
+def _columnar(content: bytes, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
+    """Only the wanted columns are decoded, a batch of rows at a time."""
+    import pyarrow as pa
     import pyarrow.feather as feather
     import pyarrow.parquet as parquet
 
     source = io.BytesIO(content)
-    table = parquet.read_table(source) if suffix == "parquet" else feather.read_table(source)
-    columns = [c.to_pylist() for c in table.columns]
-    yield from _table_rows(list(table.column_names), zip(*columns), "table", None)
+    if suffix == "parquet":
+        file = parquet.ParquetFile(source)
+        names = file.schema_arrow.names
+    else:
+        names = pa.ipc.open_file(source).schema.names
+    if len(set(names)) != len(names):
+        raise ValueError("repeated column")
+    kept = [n for n in names if wanted is None or n in wanted]
+    batches = file.iter_batches(columns=kept) if suffix == "parquet" else feather.read_table(source, columns=kept).to_batches()
+    rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))))
+    yield from _table_rows(kept, rows, "table", None)
 
 
-def _array(content: bytes, suffix: str) -> Iterator[tuple]:
+def _array(content: bytes, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
     import numpy as np
 
     held = np.load(io.BytesIO(content), allow_pickle=False)
@@ -126,7 +139,7 @@ def _array(content: bytes, suffix: str) -> Iterator[tuple]:
             yield ("ok", "array", name, None, None, None, [int(i) for i in index], raw, kind, False)
 
 
-def _sqlite(content: bytes, suffix: str) -> Iterator[tuple]:
+def _sqlite(content: bytes, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
     with tempfile.NamedTemporaryFile(suffix=".db", delete=False) as f:  # read within this task and removed
         f.write(content)
     try:
@@ -134,14 +147,17 @@ def _sqlite(content: bytes, suffix: str) -> Iterator[tuple]:
         names = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') ORDER BY name")]
         for name in names:
             quoted = '"' + name.replace('"', '""') + '"'
-            cur = con.execute(f"SELECT * FROM {quoted}")  # noqa: S608
-            yield from _table_rows([d[0] for d in cur.description], cur, "table", name)
+            held = [d[0] for d in con.execute(f"SELECT * FROM {quoted} LIMIT 0").description]  # noqa: S608
+            kept = [h for h in held if wanted is None or h in wanted]
+            if kept:
+                named = ", ".join('"' + h.replace('"', '""') + '"' for h in kept)
+                yield from _table_rows(kept, con.execute(f"SELECT {named} FROM {quoted}"), "table", name)  # noqa: S608
         con.close()
     finally:
         os.unlink(f.name)
 
 
-def _sheet(content: bytes, suffix: str) -> Iterator[tuple]:
+def _sheet(content: bytes, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
     try:
         import openpyxl
     except ImportError as e:
@@ -151,7 +167,7 @@ def _sheet(content: bytes, suffix: str) -> Iterator[tuple]:
         rows = sheet.iter_rows(values_only=True)
         header = next(rows, ())
         kept = [i for i, h in enumerate(header) if h is not None]
-        yield from _table_rows([str(header[i]) for i in kept], ([r[i] if i < len(r) else None for i in kept] for r in rows), "table", sheet.title)
+        yield from _table_rows([str(header[i]) for i in kept], ([r[i] if i < len(r) else None for i in kept] for r in rows), "table", sheet.title, wanted)
 
 
 READERS = {"table": _delimited, "tree": _tree, "columnar": _columnar, "array": _array, "sqlite": _sqlite, "sheet": _sheet}
@@ -160,14 +176,14 @@ READERS = {"table": _delimited, "tree": _tree, "columnar": _columnar, "array": _
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CELLS.split(", ")]
     for batch in batches:
-        for path, suffix, form, content in zip(batch["path"], batch["suffix"], batch["format"], batch["content"]):
+        for path, suffix, form, content, columns in zip(batch["path"], batch["suffix"], batch["format"], batch["content"], batch["wanted"]):
             rows: list[tuple] = []
             status = None
             if form not in READERS:
                 status = form if form in ("never_opened", "unsupported") else "text"
             else:
                 try:
-                    for row in READERS[form](bytes(content), suffix):
+                    for row in READERS[form](bytes(content), suffix, None if columns is None else frozenset(columns)):
                         rows.append((path, *row))
                         if len(rows) >= 50_000:
                             yield pd.DataFrame(rows, columns=names)
@@ -182,9 +198,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=names).astype({"row_ord": "Int64"})
 
 
-def cells(files: DataFrame) -> DataFrame:
-    """The cells of files(path, suffix, format, content), one row each, and a status row for files without any."""
-    return files.select("path", "suffix", "format", "content").mapInPandas(_read, CELLS)
+def cells(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The cells of files(path, suffix, format, content), one row each, and a status row for files without any.
+
+    wanted(path, columns array) names the columns of tables that addresses ask for: no other is read. A path
+    that wanted does not name is read whole.
+    """
+    f = files.select("path", "suffix", "format", "content")
+    f = f.withColumn("wanted", F.lit(None).cast("array<string>")) if wanted is None else f.join(wanted.select("path", F.col("columns").alias("wanted")), "path", "left")
+    return f.mapInPandas(_read, CELLS)
 
 
 def page_texts(files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from probatum.operators.engine import EVIDENCE, verify
 from probatum.session import checkpointed
-from probatum.sources.files import cells, listed
+from probatum.sources.files import cells, listed, page_texts
 from probatum.sources.trees import Unreadable, load_json, load_yaml
 
 _LOCATOR = "kind pointer table_name column predicate row array_name index before after form".split()
@@ -133,10 +133,15 @@ def verify_folder(spark: SparkSession, root: str, glob: str = "manifest.*") -> D
     named = F.transform("sides", lambda s: s.withField("artifact_id", F.concat_ws("\u0002", F.col("project"), s["artifact_id"])))
     evidence = e.withColumn("sides", named).withColumn("claim_id", qualify("claim_id")).drop("project").select(*_EVIDENCE)
     found = listed(spark, root)
-    read = checkpointed(cells(found.join(artifacts.select("path").distinct(), "path", "left_semi")))
+    declared = found.join(artifacts.select("path").distinct(), "path", "left_semi")
+    side = evidence.select(F.explode("sides").alias("s")).select("s.artifact_id", F.array_compact(F.array_union(F.array("s.locator.column"), F.coalesce(F.map_keys("s.locator.predicate"), F.array().cast("array<string>")))).alias("c"))
+    # A file's own columns bound what is gathered here.
+    wanted = side.join(artifacts, "artifact_id").select("path", F.explode("c").alias("c")).groupBy("path").agg(F.collect_set("c").alias("columns"))
+    read = checkpointed(cells(declared, wanted))
     status = read.groupBy("path").agg(F.max(F.when(~F.col("status").isin("ok", "text"), F.col("status"))).alias("status"))
     files = found.select("path", F.col("sha256").alias("actual")).join(status, "path", "left")
-    texts = found.filter("format = 'prose'").select("path", F.decode("content", "utf-8").alias("text"))
+    pages = page_texts(declared)
+    texts = checkpointed(pages.select("path", "text").unionByName(declared.filter("format = 'prose'").join(pages.select("path"), "path", "left_anti").select("path", F.decode("content", "utf-8").alias("text"))))
     out = verify(evidence, artifacts, files, read, texts)
     parts = F.split("claim_id", "\u0002")
     return out.withColumn("project", parts[0]).withColumn("claim_id", parts[1])

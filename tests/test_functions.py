@@ -110,6 +110,34 @@ def test_resolving():
     assert folds.context_notes("was meant", "This was not what was meant here.") == ["after_negation"]
 
 
+def test_omission_is_the_best_of_all_ways():
+    def brute(quote, text, least):
+        q, doc = quote.split(), text.split()
+        found = []
+
+        def go(i, at, pieces):
+            if i == len(q):
+                if len(pieces) > 1:
+                    found.append((pieces[-1][1] - pieces[0][0], len(pieces), pieces[0][0], pieces))
+                return
+            for j in range(at, len(doc)):
+                for k in range(1, min(len(q) - i, len(doc) - j) + 1):
+                    if q[i : i + k] == doc[j : j + k] and len(" ".join(q[i : i + k])) >= least:
+                        go(i + k, j + k + 1, pieces + [(j, j + k)])
+
+        go(0, 0, [])
+        return min(found)[3] if found else None
+
+    rng = random.Random(3)
+    for _ in range(150):
+        doc = [rng.choice("aa bb cc dd".split()) for _ in range(12)]
+        q = " ".join(rng.choice("aa bb cc".split()) for _ in range(rng.randint(2, 5)))
+        best, got = brute(q, " ".join(doc), 2), folds.omission(q, " ".join(doc), 2)
+        assert (got is None) == (best is None), (q, doc)
+        if best:
+            assert got == ([" ".join(doc[a[1] : b[0]]) for a, b in zip(best, best[1:])], " ".join(doc[best[0][0] : best[-1][1]]))
+
+
 def test_names_and_venues():
     assert folds.names_disagree("Hölscher, P. T.", "Peter Hoelscher") is None
     assert folds.names_disagree("Smith, Andrew J.", "Smith, Alastair J.") == "given"

@@ -2,6 +2,9 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from probatum.sources.files import cells, listed
 from probatum.sources.manifests import manifests, parse, problems, verify_folder
 
 
@@ -42,6 +45,22 @@ def test_folder(spark, tmp_path):
     assert bad["bad"] and bad["worse"] and not bad["one"]
 
 
+def test_pages_are_quoted_and_only_named_columns_read(spark, tmp_path):
+    _write(tmp_path, "page.html", "<table><tr><td>alpha</td><td>0.5</td></tr></table><p>The effect held in <b>all</b> sites.</p>")
+    _write(tmp_path, "t.csv", "k,v,unused\na,3.2e-11,x\n")
+    _write(tmp_path, "d.json", "{}")
+    quote = lambda a, t: {"kind": "quote", "artifact": a, "text": t}
+    claims = [quote("p", "held in all sites"), quote("p", "alpha 0.5"), quote("p", "alpha | 0.5"), quote("d", "anything"), quote("t", "a | 3.2e-11"),
+              {"kind": "table", "artifact": "t", "reported": "5.0e-12", "column": "v", "where": {"k": "a"}}]
+    artifacts = [{"id": "p", "path": "page.html"}, {"id": "t", "path": "t.csv"}, {"id": "d", "path": "d.json"}]
+    _write(tmp_path, "manifest.json", json.dumps({"artifacts": artifacts, "claims": [{"id": "c", "evidence": claims}]}))
+    got = [r["reason"] for r in verify_folder(spark, str(tmp_path)).orderBy("ord").collect()]
+    assert got == ["passage_present", "passage_absent", "passage_present", "extractor_missing", "passage_present", "value_mismatch"]
+    files = listed(spark, str(tmp_path), "*.csv")
+    wanted = files.select("path", F.array(F.lit("v")).alias("columns"))
+    assert {r["column"] for r in cells(files, wanted).collect()} == {"v"} and {r["column"] for r in cells(files).collect()} == {"k", "v", "unused"}
+
+
 def test_problems():
     e = {"kind": "aggregate", "count": 3, "members": [{"artifact": "a", "locator": {"kind": "tree", "pointer": "/x"}}] * 2}
     assert len(problems({"claims": [{"id": "c", "evidence": [e]}]})) == 2

@@ -76,28 +76,13 @@ def test_corrections():
     from probatum.functions.folds import corrected
 
     text = "the rnean was 4.2 in all sites"
-    assert corrected("mean was 4.2", "The mean was 4.2", "the rnean was 4.2", text) == "corrected"
-    assert corrected("median", "The mean was 4.2", "the rnean was 4.2", text) == "quotation not in passage"
-    assert corrected("mean", "The mean was 4.2", "absent", text) == "reading not in text"
-    assert corrected("mean", "mean", "sites", text) == "not alike" and corrected("x", "", "", text) == "empty" and corrected("mean", "mean " * 900, "rnean", text) == "too long"
-
-
-def test_latex():
-    from probatum.sources.pages import citing_sentences, latex_text, title_of
-
-    assert latex_text("M\\\"{u}ller and \\'Elodie \\o{} \\v{s}a \\emph{x}") == "Müller and Élodie øša x".replace("øša", "ø ša")
-    assert title_of("% \\title{no}\n\\title{On \\emph{it}}") == "On it" and title_of("") is None
-    assert citing_sentences("We agree \\cite{a, b}. Nothing here. Also [@c; @d].") == [{"sentence": "We agree \\cite{a, b}.", "keys": ["a", "b"]}, {"sentence": "Also [@c; @d].", "keys": ["c", "d"]}]
-
-
-def test_candidates(spark):
-    from probatum.operators.survey import collapsed, guarded_best, most_common, table_votes
-
-    c = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, None, 3)], "k int, v string, o int")
-    assert {(r["k"], r["v"], r["n_candidates"]) for r in collapsed(c, ["k"], ["o"]).collect()} == {(1, "a", 2), (2, None, 1)}
-    g = spark.createDataFrame([(1, True, "x"), (1, False, "y"), (2, True, "x"), (2, True, "y"), (3, False, "x"), (4, None, "x")], "k int, ok boolean, v string")
-    assert {(r["k"], r["v"], r["reason"]) for r in guarded_best(g, "k", "ok", "v").collect()} == {(1, "x", "unique"), (2, None, "several pass"), (3, None, "none passes"), (4, None, "none passes")}
-    assert {(r["k"], r["v"]) for r in most_common(spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "z"), (2, "z"), (2, "a")], "k int, v string"), ["k"], "v").collect()} == {(1, "a"), (2, "z")}
-    claims = spark.createDataFrame([("t", "3", "accuracy of the model"), ("t", "3", "accuracy of the model"), ("t", "3", "short")], "text_id string, declared string, passage string")
-    captions = spark.createDataFrame([("t", "2", "The accuracy of the  model"), ("t", "4", None)], "text_id string, table_no string, caption string")
-    assert [tuple(r) for r in table_votes(claims, captions).collect()] == [("t", "3", "2", 2)]
+    assert corrected("mean was 4.2", "The mean was 4.2", "the rnean was 4.2", text) == ("corrected", [])
+    assert corrected("median", "The mean was 4.2", "the rnean was 4.2", text)[0] == "quotation not in passage"
+    assert corrected("mean", "The mean was 4.2", "absent", text)[0] == "reading not in text"
+    assert corrected("mean", "mean", "sites", text)[0] == "not alike" and corrected("x", "", "", text)[0] == "empty"
+    assert corrected("mean", "mean " * 900, "rnean", text)[0] == "too long" and corrected("mean", "mean", "rnean " * 50, text)[0] == "too long"
+    shown = "of 21 sites it was now shown that p < 0.05 may hold"
+    assert corrected("12 sites", "of 12 sites it was now shown", "of 21 sites it was now shown", shown) == ("corrected", ["changes_number"])
+    assert corrected("was not shown", "it was not shown that", "it was now shown that", shown) == ("corrected", ["adds_negation"])
+    assert corrected("p > 0.05", "shown that p > 0.05 may", "shown that p < 0.05 may", shown) == ("corrected", ["changes_comparison"])
+    assert corrected("0.05 hold", "that p < 0.05 hold", "that p < 0.05 may hold", shown) == ("corrected", ["removes_hedge"])
