@@ -8,7 +8,7 @@
 3. BM25 (term frequency, length of the record) scores the classes of the other table over an inverted index. Pruning
    is exact: of a query the rarest terms are looked up, as many as are needed so that the others together stay below
    half of `LEAST` of its own score, and pairs with the other half are kept. Of the rest each query keeps its `TOP`
-   best and all others that reach half of its best score, so copies, however many, are never cut.
+   best and all others that reach a share of its best score, so copies, however many, are never cut.
 4. Those are compared attribute by attribute. A logistic curve over the attributes, fitted on pairs whose DOIs settle
    the matter, scores each pair; a second one turns score and gap to the best other pair of either side into the
    confidence. A pair stands where it is among the nearest of both sides, its kind of work (erratum, reply, part,
@@ -41,7 +41,7 @@ LEAST = 0.12
 #: BM25: saturation of term frequency, weight of the record's length, and how much more than once a term may count.
 K1, B, MOST_TF = 1.2, 0.3, 2
 #: Best candidates of a query kept whatever their score; beyond them those with this share of the best score.
-TOP, NEAR_BEST = 12, 0.5
+TOP, NEAR_BEST = 2, 0.3
 #: A value that more than this share of all records hold (and HEAVY_COUNT of them) is no term by itself, so there are
 #: at most some thousands.
 HEAVY, HEAVY_COUNT = 5e-4, 24
@@ -281,21 +281,19 @@ def candidates(docs: DataFrame, w: Weights) -> DataFrame:
     idf = F.log(1 + (size - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = postings.filter("side = 1").join(held.filter("qf > 0"), "term").select(F.col("fp").alias("q"), "term", (F.col("df") > 0).alias("met"), idf.cast("float").alias("w"), saturated(F.col("tf"), F.col("len")).alias("own"))
     # The terms of one record, rarest last; each with the weight of all commoner ones and itself.
-    whole = asked.groupBy("q").agg(F.sum(F.col("w") * F.col("own")).alias("own"), F.sort_array(F.collect_list(F.struct("w", "term", "met"))).alias("ts"))
+    whole = checkpointed(asked.groupBy("q").agg(F.sum(F.col("w") * F.col("own")).alias("own"), F.sort_array(F.collect_list(F.struct("w", "term", "met"))).alias("ts")))
     tails = F.transform("ts", lambda t, i: F.struct(t["term"].alias("term"), t["w"].alias("w"), t["met"].alias("met"), F.aggregate(F.slice("ts", 1, i + 1), F.lit(0.0), lambda z, x: z + x["w"]).alias("tail")))
     needed = whole.select("q", "own", F.explode(F.filter(tails, lambda t: t["met"] & (t["tail"] * most >= LEAST / 2 * F.col("own")))).alias("t"))
-    looked = needed.select("q", F.col("own").cast("float").alias("own"), "t.term", "t.w")
+    looked = needed.select("q", "t.term", "t.w")
     corpus = postings.filter("side = 0").select("term", F.col("fp").alias("c"), saturated(F.col("tf"), F.col("len")).cast("float").alias("part"))
-    scored = looked.join(corpus, "term").groupBy("q", "c").agg(F.sum(F.col("w") * F.col("part")).alias("s"), F.max("own").alias("own"))
+    # From here on everything is per query: one shuffle by q serves sums, own weights, best scores and ranks.
+    parts = looked.join(corpus, "term").select("q", "c", (F.col("w") * F.col("part")).cast("float").alias("s")).repartition("q")
+    scored = parts.groupBy("q", "c").agg(F.sum("s").alias("s")).join(whole.select("q", "own"), "q").select("q", "c", (F.col("s") / F.col("own")).alias("hit"))
     # The terms left out weigh less than half of the bound together: a pair at the bound has the other half among those looked up.
-    hits = scored.select("q", "c", (F.col("s") / F.col("own")).alias("hit")).filter(F.col("hit") >= LEAST / 2)
-    best = hits.groupBy("q").agg(F.max("hit").alias("best"), F.min(F.lit(1)).alias("_"), F.count("*").alias("n")).drop("_")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("hit"), "c"))
-    # Only queries with more than TOP candidates are ranked, and of those only what lies below half of their best.
-    joined = hits.join(best, "q")
-    sure = joined.filter((F.col("n") <= TOP) | (F.col("hit") >= NEAR_BEST * F.col("best")))
-    rest = joined.filter((F.col("n") > TOP) & (F.col("hit") < NEAR_BEST * F.col("best"))).withColumn("_r", rank).filter(F.col("_r") <= TOP)
-    return sure.select("q", "c", "hit").unionByName(rest.select("q", "c", "hit"))
+    ranked = scored.filter(F.col("hit") >= LEAST / 2).withColumns({
+        "best": F.max("hit").over(Window.partitionBy("q")), "rank": F.row_number().over(Window.partitionBy("q").orderBy(F.desc("hit"), "c")),
+    })
+    return ranked.filter((F.col("rank") <= TOP) | (F.col("hit") >= NEAR_BEST * F.col("best"))).select("q", "c", "hit")
 
 
 def _fit(sample: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -326,8 +324,7 @@ def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     docs = checkpointed(side(left, left_id, 0).unionByName(side(right, right_id, 1)))
     w = value_weights(docs)
     met = candidates(docs, w)
-    first = docs.groupBy("side", "fp").agg(F.min("id").alias("id"))
-    record = lambda n, p: docs.filter(F.col("side") == n).join(first, ["side", "fp", "id"], "left_semi").select(*[F.col(c).alias(p + c) for c in ("fp", "words", "names", "y", "d", "kind", "cut")])
+    record = lambda n, p: docs.filter(F.col("side") == n).dropDuplicates(["fp"]).select(*[F.col(c).alias(p + c) for c in ("fp", "words", "names", "y", "d", "kind", "cut")])
     joined = met.join(record(1, "r"), F.col("q") == F.col("rfp")).join(record(0, "l"), F.col("c") == F.col("lfp"))
     compared = joined.withColumn("f", _comparer(w)("rwords", "rnames", "ry", "rd", "lwords", "lnames", "ly", "ld"))
     telling, named = F.least(F.lit(1.0), "told"), F.greatest(F.lit(0.0), "names")
@@ -363,8 +360,8 @@ def _curve(pairs: DataFrame, features: list[str]) -> np.ndarray:
     its publication are. So the labels of the latter start from a fixed curve and are settled in a few rounds, each
     fitted on what the one before says. Without pairs of both kinds the fixed curve stands.
     """
-    prior = {"telling_title": 9.0, "telling_whole": 3.0, "weak_title": 12.0, "named": 5.0, "unnamed": 1.0, "year": 1.2, "hit": 0.0, "score": 1.0, "gap": 0.3}
-    w = np.array([-10.4 if "hit" in features else 0.0, *(prior[f] for f in features)])
+    prior = {"telling_title": 20.0, "telling_whole": 6.0, "weak_title": 26.0, "named": 4.0, "unnamed": 2.0, "year": 1.5, "hit": 0.0, "score": 1.0, "gap": 0.3}
+    w = np.array([-24.0 if "hit" in features else 0.0, *(prior[f] for f in features)])
     known = pairs.filter("doi <> 0").select(*features, "doi").orderBy(F.xxhash64("lfp", "rfp")).limit(SAMPLE).toPandas()
     if (known["doi"] > 0).sum() < LABELLED or (known["doi"] < 0).sum() < LABELLED:
         return w
