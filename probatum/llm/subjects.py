@@ -6,10 +6,13 @@
    completed by expectation-maximisation over all documents: a sentence belongs to an area or to none, and
    the areas of its document's other sentences speak for it. A sentence form (names and numbers left out)
    that stands alike in documents of many areas is about none. Counts add up per task before they meet.
-3. Per document the shares of its sentences, its source and its structure feed a classifier chain: the
-   decision on an area sees the decisions on those before it, so areas that occur together are modelled.
-   Chains are fitted on composed documents whose labels are known, then calibrated; a beam search finds
-   the most probable combination of labels.
+3. Per document and area the terms give evidence: how far the sentences about it, each with its chance, exceed the
+   fifth that counts. Evidence, source and structure feed a classifier chain: the decision on an area sees the
+   decisions on those before it, so areas that occur together are modelled. The chain is fitted on a bounded sample
+   of the corpus, in which a share of the words is struck out before the evidence is taken while the labels come from
+   the whole texts (so it learns what source, structure and other areas say where terms are few), and on composed
+   documents whose labels are known. Its scores are calibrated on rows kept apart; a beam search finds the most
+   probable combination of labels.
 
 Null and empty texts, and texts without sentences, have no area. Unknown sources weigh nothing.
 Repeated rows are labelled alike.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,11 @@ FORM_SHARE, FORM_COUNT, FORM_TOP = 1e-5, 8, 0.6
 LABELLED_ROWS = 50_000
 #: Share of the sentences from which a document is about an area.
 SHARE = 0.2
-#: Composed documents on which the chain is fitted, and widths of the beam.
-COMPOSED, BEAM = 3000, 8
+#: Documents of the corpus and composed documents on which the chain is fitted, at most; most words of such a document;
+#: share of the words kept for the evidence; width of the beam.
+SAMPLE_DOCS, COMPOSED, SAMPLE_WORDS, KEPT, BEAM = 4000, 2000, 20_000, 0.6, 8
+#: Kinds of source told apart make up this share of the documents, so there are at most 1 / SOURCE_SHARE.
+SOURCE_SHARE = 1e-3
 
 # Function words that tell the languages apart.
 FUNCTION_WORDS = (
@@ -78,23 +85,36 @@ def sentences(text: str | None) -> list[list[str]]:
     return out
 
 
-def _language(words: list[str]) -> int:
-    hits = [sum(w in f for w in words) for f in FUNCTION_WORDS]
-    best = max(range(len(hits)), key=hits.__getitem__)
-    return best if hits[best] else len(hits)
+_SPOKEN = {w: [i for i, f in enumerate(FUNCTION_WORDS) if w in f] for f in FUNCTION_WORDS for w in f}
+
+
+@lru_cache(maxsize=1 << 18)
+def _read_word(word: str) -> tuple[int, bool, tuple[int, ...]]:
+    """(hash within a language, starts with a lower-case letter, languages it is a function word of)."""
+    low = word.lower()
+    return zlib.crc32(low.encode()) & (PER_LANGUAGE - 1), word[0].islower(), tuple(_SPOKEN.get(low, ()))
 
 
 def hashes(found: list[list[str]]) -> list[list[int]]:
     """Word buckets of each sentence, those of each language apart; names inside a sentence are left out where
     only names have a capital."""
-    spoken = [_language([w.lower() for w in s]) for s in found]
+    none = len(FUNCTION_WORDS)
+    read, spoken = [], []
+    for s in found:
+        words = [_read_word(w) for w in s]
+        hits = [0] * none
+        for _, _, langs in words:
+            for lang in langs:
+                hits[lang] += 1
+        best = max(range(none), key=hits.__getitem__)
+        read.append(words)
+        spoken.append(best if hits[best] else none)
     usual = max(set(spoken), key=spoken.count) if spoken else 0
     out = []
-    for s, lang in zip(found, spoken):
-        lang = usual if lang == len(FUNCTION_WORDS) else lang
+    for words, lang in zip(read, spoken):
+        lang = usual if lang == none else lang
         base = lang * PER_LANGUAGE
-        kept = s if lang == 1 else [w for i, w in enumerate(s) if not i or w[0].islower()]
-        out.append([base + (zlib.crc32(w.lower().encode()) & (PER_LANGUAGE - 1)) for w in kept])
+        out.append([base + h for i, (h, low, _) in enumerate(words) if lang == 1 or low or not i])
     return out
 
 
@@ -102,6 +122,12 @@ def form_of(buckets: list[int]) -> int:
     return xxhash.xxh64_intdigest(np.array(buckets, dtype=np.int32).tobytes()) >> 1
 
 
+def _structure(text: str | None) -> float:
+    """Share of the lines that are headings, list items or fields."""
+    lines = [x.lstrip() for x in (text or "").split("\n") if x.strip()]
+    return sum(x[:1] in ("-", "*", "#") or bool(_FIELD.match(x)) for x in lines) / len(lines) if lines else 0.0
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, ends, forms, lists = [], [], [], []
@@ -112,19 +138,19 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in found:
                 flat += s
                 cut.append(len(flat))
-            words.append(flat), ends.append(cut), forms.append([form_of(s) for s in found]), lists.append(sum(1 for x in (text or "").split("\n") if x.lstrip()[:1] in ("-", "*", "#")))
+            words.append(flat), ends.append(cut), forms.append([form_of(s) for s in found]), lists.append(_structure(text))
         yield pa.RecordBatch.from_pydict(
             {
                 "id": batch.column("id"), "tag": batch.column("tag"), "words": pa.array(words, pa.list_(pa.int32())),
-                "ends": pa.array(ends, pa.list_(pa.int32())), "forms": pa.array(forms, pa.list_(pa.int64())), "lists": pa.array(lists, pa.int32()),
+                "ends": pa.array(ends, pa.list_(pa.int32())), "forms": pa.array(forms, pa.list_(pa.int64())), "lists": pa.array(lists, pa.float32()),
             }
         )
 
 
 def hashed(df: DataFrame, key: str, text: str, tag: str) -> DataFrame:
-    """(id, tag, words, ends, lists): hashed words of all sentences, where each sentence ends, lines that are list items."""
+    """(id, tag, words, ends, forms, lists): hashed words of all sentences, where each ends, its form, share of lines that are structure."""
     rows = df.select(F.col(key).alias("id"), F.col(tag).cast("string").alias("tag"), F.col(text).alias("text"))
-    return spread(rows).mapInArrow(_hashed, "id long, tag string, words array<int>, ends array<int>, forms array<long>, lists int")
+    return spread(rows).mapInArrow(_hashed, "id long, tag string, words array<int>, ends array<int>, forms array<long>, lists float")
 
 
 class Batch:
@@ -279,12 +305,24 @@ def _as_batch(texts: list[list[list[str]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"words": pa.array(words, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "forms": pa.array([[form_of(s) for s in t] for t in each], pa.list_(pa.int64()))})
 
 
-def features(shares: np.ndarray, hard: np.ndarray, n: np.ndarray, listed: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """Per document and area: evidence around the share that counts, then source and structure, the same for all areas."""
-    docs, areas = shares.shape
+def evidence(b: Batch, model: np.ndarray, general: np.ndarray) -> np.ndarray:
+    """Per document and area: by how many deviations the sentences about it exceed the count that makes the share, and their mean chance."""
+    areas = model.shape[1] - 1
+    r = b.posterior(model, general)
+    sums, spread_ = np.zeros((b.docs, areas + 1)), np.zeros((b.docs, areas + 1))
+    if len(r):
+        np.add.at(sums, b.doc, r)
+        np.add.at(spread_, b.doc, r * (1 - r))
+    needed = np.ceil(SHARE * b.n_sentences - 1e-9)[:, None]
+    over = (sums - needed + 0.5) / np.sqrt(spread_ + 0.01)
+    share = sums / np.maximum(b.n_sentences, 1)[:, None]
+    return np.stack([np.clip(over, -8, 8), np.clip((share - SHARE) * 12, -3, 3)], axis=2)[:, :areas]
+
+
+def features(own: np.ndarray, n: np.ndarray, listed: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Per document and area: the evidence of its terms, then structure and source, the same for all areas."""
     common = np.c_[np.log1p(n), listed, source]
-    own = np.stack([shares, hard, np.clip((hard - SHARE) * 12, -3, 3), np.clip((shares - SHARE) * 12, -3, 3), np.clip((hard - SHARE) * n[:, None], -1, 1)], axis=2)
-    return np.concatenate([own, np.repeat(common[:, None, :], areas, axis=1)], axis=2)
+    return np.concatenate([own, np.repeat(common[:, None, :], own.shape[1], axis=1)], axis=2)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -303,14 +341,16 @@ class Chain:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.order = np.argsort(-y.mean(axis=0), kind="stable")
-        half = len(x) * 3 // 4
+        mixed = np.random.default_rng(5).permutation(len(x))
+        x, y = x[mixed], y[mixed]
+        part = len(x) * 3 // 4
         self.weights, self.scales = [], []
         for i, a in enumerate(self.order):
             z = np.c_[np.ones(len(x)), x[:, a], y[:, self.order[:i]]]
-            w = _logistic(z[:half], y[:half, a])
-            score = z[half:] @ w
+            w = _logistic(z[:part], y[:part, a])
+            score = z[part:] @ w
             self.weights.append(w)
-            self.scales.append(_logistic(np.c_[np.ones(len(score)), score], y[half:, a], 0.1))
+            self.scales.append(_logistic(np.c_[np.ones(len(score)), score], y[part:, a], 0.1))
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         docs, areas = x.shape[0], x.shape[1]
@@ -332,8 +372,43 @@ class Chain:
         return labels[:, 0, :]
 
 
+def _thinned(b: Batch, rng: np.random.Generator) -> Batch:
+    """The same documents with a share of the words struck out; every sentence keeps one."""
+    kept = rng.random(len(b.words)) < KEPT
+    kept[b.starts] = True
+    out = Batch.__new__(Batch)
+    out.words, out.ends = b.words[kept], np.cumsum(kept)[b.ends - 1] if len(b.ends) else b.ends
+    out.starts = np.r_[0, out.ends[:-1]] if len(out.ends) else out.ends
+    out.doc, out.docs, out.n_sentences, out.forms = b.doc, b.docs, b.n_sentences, b.forms
+    return out
+
+
+def _sampled(documents: DataFrame, model: np.ndarray, general: np.ndarray, sources: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features, from thinned texts, and labels, from whole ones, of at most SAMPLE_DOCS documents of the corpus."""
+    some = documents.filter((F.size("ends") > 0) & (F.size("words") <= SAMPLE_WORDS)).orderBy(F.xxhash64("id")).limit(SAMPLE_DOCS)
+    table = some.toArrow().combine_chunks()
+    areas = model.shape[1] - 1
+    xs, ys = [np.zeros((0, areas, 4 + len(sources)))], [np.zeros((0, areas))]
+    rng = np.random.default_rng(11)
+    for batch in table.to_batches():
+        b = Batch(batch)
+        _, hard = document_shares(b, model, general)
+        xs.append(features(evidence(_thinned(b, rng), model, general), b.n_sentences, np.array(batch.column("lists").to_pylist()), _one_hot(batch.column("tag").to_pylist(), sources)))
+        ys.append((hard >= SHARE - 1e-9).astype(float))
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _one_hot(tags: list[str | None], sources: list[str]) -> np.ndarray:
+    at = {t: i for i, t in enumerate(sources)}
+    out = np.zeros((len(tags), len(sources)))
+    for i, t in enumerate(tags):
+        if t in at:
+            out[i, at[t]] = 1
+    return out
+
+
 def _compose(passages: list[tuple[list[list[str]], int]], model: np.ndarray, general: np.ndarray, areas: int, sources: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of documents put together from labelled sentences, around the share that counts."""
+    """Features and labels of documents put together from labelled sentences, around the share that counts; of no source."""
     rng = np.random.default_rng(7)
     batch = Batch(_as_batch([p for p, _ in passages]))
     label = np.array([a for _, a in passages])
@@ -343,7 +418,7 @@ def _compose(passages: list[tuple[list[list[str]], int]], model: np.ndarray, gen
     truth = batch.posterior(model, general, allowed).argmax(axis=1)
     flat = [s for p, _ in passages for s in p]
     pools = [[flat[i] for i in np.flatnonzero(truth == c)] for c in range(areas + 1)]
-    texts, labels, tags = [], [], []
+    texts, labels = [], []
     for _ in range(COMPOSED):
         n = int(rng.choice([1, 2, 3, 4, 5, 6, 8, 10, 15, 20, 30]))
         some = rng.permutation(areas)[: int(rng.choice([1, 2, 3], p=[0.6, 0.3, 0.1]))]
@@ -355,11 +430,9 @@ def _compose(passages: list[tuple[list[list[str]], int]], model: np.ndarray, gen
             continue
         texts.append([pools[k][rng.integers(len(pools[k]))] for k in kinds])
         labels.append([(kinds == a).mean() >= SHARE - 1e-9 for a in range(areas)])
-        tags.append(rng.integers(sources + 1))
     b = Batch(_as_batch(texts))
-    soft, hard = document_shares(b, model, general)
-    one_hot = np.eye(sources + 1)[np.array(tags)][:, :sources]
-    return features(soft, hard, b.n_sentences, np.zeros(len(texts)), one_hot), np.array(labels, float)
+    x = features(evidence(b, model, general), b.n_sentences, np.zeros(len(texts)), np.zeros((len(texts), sources)))
+    return x, np.array(labels, float).reshape(len(texts), areas)
 
 
 def document_shares(b: Batch, model: np.ndarray, general: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,14 +451,9 @@ def _label(model: np.ndarray, general: np.ndarray, chain: Chain, names: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = Batch(batch)
-            soft, hard = document_shares(b, model, general)
-            tags = batch.column("tag").to_pylist()
-            one_hot = np.zeros((b.docs, len(sources)))
-            for i, t in enumerate(tags):
-                if t in sources:
-                    one_hot[i, sources.index(t)] = 1
-            listed = np.array(batch.column("lists").to_pylist()) > 0
-            x = features(soft, hard, b.n_sentences, listed.astype(float) * 0, one_hot)
+            _, hard = document_shares(b, model, general)
+            listed = np.array(batch.column("lists").to_pylist(), dtype=float)
+            x = features(evidence(b, model, general), b.n_sentences, listed, _one_hot(batch.column("tag").to_pylist(), sources))
             y = chain.decode(x) * (b.n_sentences > 0)[:, None] if b.docs else np.zeros((0, len(names)))
             doc, area = np.nonzero(y)
             ids = np.array(batch.column("id").to_pylist(), dtype=np.int64)
@@ -406,9 +474,12 @@ def subject_areas(documents: DataFrame, examples: DataFrame, areas: list[str]) -
     labelled = examples.filter(F.col("area").isin(*names)).orderBy("example_id").limit(LABELLED_ROWS).select("text", "area").collect()
     passages = [(s, names.index(r["area"])) for r in labelled if (s := sentences(r["text"]))]
     docs = checkpointed(hashed(documents, "doc_id", "text", "source"))
-    sources = sorted(r["tag"] for r in docs.filter("tag is not null").groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(32).collect())
+    tags = checkpointed(docs.filter("tag is not null").groupBy("tag").count())
+    total = tags.agg(F.sum("count")).first()[0] or 0
+    sources = sorted(r["tag"] for r in tags.filter(F.col("count") >= SOURCE_SHARE * total).collect())
     if not passages:
         return docs.sparkSession.createDataFrame([], "doc_id long, area string, share double")
     model, general = fit_words(docs, passages, len(names))
-    chain = Chain(*_compose(passages, model, general, len(names), len(sources)))
+    parts = [_compose(passages, model, general, len(names), len(sources)), _sampled(docs, model, general, sources)]
+    chain = Chain(*(np.concatenate(p) for p in zip(*parts)))
     return docs.mapInArrow(_label(model, general, chain, names, sources), "doc_id long, area string, share double")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from probatum.llm.subjects import Chain, hashes, sentences, subject_areas
+from probatum.llm.subjects import Batch, Chain, _as_batch, _thinned, features, hashes, sentences, subject_areas
 
 TERMS = {
     "law": "verdict appeal clause plaintiff statute tribunal injunction precedent".split(),
@@ -30,6 +30,40 @@ def test_chain_learns_a_rule():
     assert (Chain(x, y).decode(x) == y).mean() > 0.95
 
 
+def test_chain_source_and_structure_decide_where_terms_do_not():
+    rng = np.random.default_rng(1)
+    n, sources = 3000, 2
+    source = rng.integers(0, 2, n)
+    listed = rng.random(n)
+    first = np.where(rng.random(n) < 0.9, source, 1 - source)  # area 0 goes with the source
+    second = np.where(rng.random(n) < 0.9, first, 1 - first)  # area 1 goes with area 0
+    third = (listed > 0.5).astype(int)  # area 2 goes with the structure
+    y = np.stack([first, second, third], axis=1).astype(float)
+    clear = rng.random((n, 3)) < 0.5
+    own = np.where(clear, (2 * y - 1) * 8, rng.normal(0, 1, (n, 3)))[:, :, None].repeat(2, axis=2)
+    x = features(own, np.ones(n), listed, np.eye(2)[source])
+    half = n // 2
+    chain = Chain(x[:half], y[:half])
+    right = lambda got: (got == y[half:]).mean(axis=0)
+    whole = right(chain.decode(x[half:]))
+    assert (whole > 0.9).all()
+    for column, area in (((slice(4, 4 + sources)), 0), ((slice(3, 4)), 2)):
+        less = x.copy()
+        less[:, :, column] = 0
+        assert right(chain.decode(less[half:]))[area] < whole[area] - 0.02
+        assert right(Chain(less[:half], y[:half]).decode(less[half:]))[area] < whole[area] - 0.02
+    alone = Chain(x[:half], y[:half])
+    for w in alone.weights:
+        w[1 + x.shape[2] :] = 0  # no area sees another
+    assert right(alone.decode(x[half:]))[1] < whole[1] - 0.02
+
+
+def test_thinned_texts_keep_their_sentences():
+    b = Batch(_as_batch([sentences("The plaintiff met the tribunal at noon. No verdict was given by anyone."), [], sentences("One more appeal stands here today.")]))
+    t = _thinned(b, np.random.default_rng(0))
+    assert len(t.ends) == len(b.ends) == 3 and len(t.words) < len(b.words) and (np.diff(np.r_[0, t.ends]) > 0).all()
+
+
 def test_areas(spark):
     rng = random.Random(5)
     say = lambda a: rng.choice(TURNS).format(*rng.sample(TERMS[a], 3))
