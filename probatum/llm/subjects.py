@@ -169,6 +169,14 @@ class Batch:
         self.n_sentences = n_sentences
         self.forms = batch.column("forms").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
+    def per_document(self, rows: np.ndarray) -> np.ndarray:
+        """Sums over the sentences of each document, which lie side by side."""
+        out = np.zeros((self.docs, rows.shape[1]))
+        held = np.flatnonzero(self.n_sentences)
+        if len(held):
+            out[held] = np.add.reduceat(rows, (np.cumsum(self.n_sentences) - self.n_sentences)[held], axis=0)
+        return out
+
     def posterior(self, model: np.ndarray, general: np.ndarray, allowed: np.ndarray | None = None, rounds: int = 4) -> np.ndarray:
         """Probability of each class for each sentence; a document's classes are found along with its sentences'."""
         k = model.shape[1]
@@ -186,8 +194,7 @@ class Batch:
         for _ in range(rounds):
             r = like * theta[self.doc]
             r /= r.sum(axis=1, keepdims=True)
-            theta = np.zeros((self.docs, k))
-            np.add.at(theta, self.doc, r)
+            theta = self.per_document(r)
             # Areas are sparse in a document; the last class, none of them, always stays open.
             theta += 0.02
             theta[:, -1] += 0.2
@@ -243,7 +250,7 @@ def _forms(model: np.ndarray, general: np.ndarray) -> Callable:
             b = Batch(batch)
             if not len(b.ends):
                 continue
-            soft, _ = document_shares(b, model, general)
+            soft, _ = document_shares(b, b.posterior(model, general))
             main = soft.argmax(axis=1)[b.doc]
             clear = soft.max(axis=1)[b.doc] > 0.3
             pairs, n = np.unique(np.stack([b.forms[clear], main[clear]]), axis=1, return_counts=True)
@@ -305,18 +312,14 @@ def _as_batch(texts: list[list[list[str]]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"words": pa.array(words, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32())), "forms": pa.array([[form_of(s) for s in t] for t in each], pa.list_(pa.int64()))})
 
 
-def evidence(b: Batch, model: np.ndarray, general: np.ndarray) -> np.ndarray:
-    """Per document and area: by how many deviations the sentences about it exceed the count that makes the share, and their mean chance."""
-    areas = model.shape[1] - 1
-    r = b.posterior(model, general)
-    sums, spread_ = np.zeros((b.docs, areas + 1)), np.zeros((b.docs, areas + 1))
-    if len(r):
-        np.add.at(sums, b.doc, r)
-        np.add.at(spread_, b.doc, r * (1 - r))
+def evidence(b: Batch, r: np.ndarray) -> np.ndarray:
+    """Per document and area, of the chances r of the sentences: by how many deviations the sentences about it exceed
+    the count that makes the share, and their mean chance."""
+    sums, doubt = b.per_document(r), b.per_document(r * (1 - r))
     needed = np.ceil(SHARE * b.n_sentences - 1e-9)[:, None]
-    over = (sums - needed + 0.5) / np.sqrt(spread_ + 0.01)
+    over = (sums - needed + 0.5) / np.sqrt(doubt + 0.01)
     share = sums / np.maximum(b.n_sentences, 1)[:, None]
-    return np.stack([np.clip(over, -8, 8), np.clip((share - SHARE) * 12, -3, 3)], axis=2)[:, :areas]
+    return np.stack([np.clip(over, -8, 8), np.clip((share - SHARE) * 12, -3, 3)], axis=2)[:, :-1]
 
 
 def features(own: np.ndarray, n: np.ndarray, listed: np.ndarray, source: np.ndarray) -> np.ndarray:
@@ -392,8 +395,9 @@ def _sampled(documents: DataFrame, model: np.ndarray, general: np.ndarray, sourc
     rng = np.random.default_rng(11)
     for batch in table.to_batches():
         b = Batch(batch)
-        _, hard = document_shares(b, model, general)
-        xs.append(features(evidence(_thinned(b, rng), model, general), b.n_sentences, np.array(batch.column("lists").to_pylist()), _one_hot(batch.column("tag").to_pylist(), sources)))
+        _, hard = document_shares(b, b.posterior(model, general))
+        thin = _thinned(b, rng)
+        xs.append(features(evidence(thin, thin.posterior(model, general)), b.n_sentences, np.array(batch.column("lists").to_pylist()), _one_hot(batch.column("tag").to_pylist(), sources)))
         ys.append((hard >= SHARE - 1e-9).astype(float))
     return np.concatenate(xs), np.concatenate(ys)
 
@@ -431,29 +435,27 @@ def _compose(passages: list[tuple[list[list[str]], int]], model: np.ndarray, gen
         texts.append([pools[k][rng.integers(len(pools[k]))] for k in kinds])
         labels.append([(kinds == a).mean() >= SHARE - 1e-9 for a in range(areas)])
     b = Batch(_as_batch(texts))
-    x = features(evidence(b, model, general), b.n_sentences, np.zeros(len(texts)), np.zeros((len(texts), sources)))
+    x = features(evidence(b, b.posterior(model, general)), b.n_sentences, np.zeros(len(texts)), np.zeros((len(texts), sources)))
     return x, np.array(labels, float).reshape(len(texts), areas)
 
 
-def document_shares(b: Batch, model: np.ndarray, general: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per document, the mean probability of each area and the share of sentences it wins."""
-    areas = model.shape[1] - 1
-    r = b.posterior(model, general)
-    soft, hard = np.zeros((b.docs, areas + 1)), np.zeros((b.docs, areas + 1))
+def document_shares(b: Batch, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per document, of the chances r of its sentences, the mean chance of each area and the share of sentences it wins."""
+    won = np.zeros_like(r)
     if len(r):
-        np.add.at(soft, b.doc, r)
-        np.add.at(hard, (b.doc, r.argmax(axis=1)), 1.0)
+        won[np.arange(len(r)), r.argmax(axis=1)] = 1.0
     n = np.maximum(b.n_sentences, 1)[:, None]
-    return (soft / n)[:, :areas], (hard / n)[:, :areas]
+    return (b.per_document(r) / n)[:, :-1], (b.per_document(won) / n)[:, :-1]
 
 
 def _label(model: np.ndarray, general: np.ndarray, chain: Chain, names: list[str], sources: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = Batch(batch)
-            _, hard = document_shares(b, model, general)
+            r = b.posterior(model, general)
+            _, hard = document_shares(b, r)
             listed = np.array(batch.column("lists").to_pylist(), dtype=float)
-            x = features(evidence(b, model, general), b.n_sentences, listed, _one_hot(batch.column("tag").to_pylist(), sources))
+            x = features(evidence(b, r), b.n_sentences, listed, _one_hot(batch.column("tag").to_pylist(), sources))
             y = chain.decode(x) * (b.n_sentences > 0)[:, None] if b.docs else np.zeros((0, len(names)))
             doc, area = np.nonzero(y)
             ids = np.array(batch.column("id").to_pylist(), dtype=np.int64)
