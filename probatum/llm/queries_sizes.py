@@ -17,24 +17,27 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> dict[int, list[int]]:
-    return {r["pack_id"]: [r["capacity_tokens"]] for r in table(spark, sf_dir, "pack_specs").collect()}
+    """The lengths permitted to each pack: its own capacity and the smaller ones, so that none of its containers is larger."""
+    capacities = {r["pack_id"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_specs").collect()}
+    return {p: sorted({c for c in capacities.values() if c <= most}) for p, most in capacities.items()}
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The container of every document (of every piece of one larger than the capacity), for each capacity alone."""
+    """The container of every document (of every piece of one larger than the capacity), for each capacity: the lengths
+    up to it are optimised jointly, containers opened at the least cost and downsized to what they hold."""
     return pack(_sized(spark, sf_dir).select("doc_id", "tokens"), _specs(spark, sf_dir))
 
 
 def p6_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with all capacities permitted together; pack_id is 0."""
-    capacities = [c for cs in _specs(spark, sf_dir).values() for c in cs]
+    capacities = sorted({c for cs in _specs(spark, sf_dir).values() for c in cs})
     return pack(_sized(spark, sf_dir).select("doc_id", "tokens"), {0: capacities})
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per packing and capacity: containers, tokens in them, share of the space used."""
     specs = _specs(spark, sf_dir)
-    packed = pack(_sized(spark, sf_dir).select("doc_id", "tokens"), specs | {0: [c for cs in specs.values() for c in cs]})
+    packed = pack(_sized(spark, sf_dir).select("doc_id", "tokens"), specs | {0: sorted({c for cs in specs.values() for c in cs})})
     containers = packed.groupBy("pack_id", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("used"))
     return containers.groupBy("pack_id", "capacity_tokens").agg(
         F.count("*").alias("n_containers"), F.sum("used").alias("tokens"), F.max("used").alias("most_used"),

@@ -2,7 +2,8 @@
 
 The form: default-ignorable characters are dropped, blanks of every kind become a plain blank,
 compatibility characters that only differ in width or joining become plain ones, letters of another
-script that stand in a word for look-alike Latin letters become those, and the rest is composed
+script that stand in a word with Latin letters for look-alikes of them become those (a word of look-alikes alone only
+among Latin words: НАТО beside other Cyrillic words is a word), and the rest is composed
 (an accented letter is one character). Raised digits, symbols and words that really are in another
 script stay. The comparison key is the fully case-folded form with runs of blanks joined.
 
@@ -36,6 +37,9 @@ LOOKALIKE = dict(
         strict=True,
     )
 )
+# Letters drawn as a Latin one that also stand alone as symbols, so that only a word with Latin letters changes them.
+IN_LATIN = {"ρ": "p"}
+_MIXED_LIKE = frozenset(IN_LATIN)
 _LETTERS_LIKE = "".join(c for c in LOOKALIKE if c.isalpha())
 _IGNORED = re.compile(f"[{IGNORABLE}]+")
 # A word that holds a letter of another script; marks may stand between its letters.
@@ -75,12 +79,28 @@ def _plain_characters() -> frozenset[str]:
     return frozenset(map(chr, _plain()))
 
 
+_NEIGHBOUR_BEFORE, _NEIGHBOUR_AFTER = re.compile(r"([^\W\d_]+)[\W\d_]*\Z"), re.compile(r"[\W\d_]*([^\W\d_]+)")
+#: How far the words beside a word are looked for.
+BESIDE = 60
+
+
+def _among_latin(m: re.Match) -> bool:
+    """Whether the words beside a word are Latin: a word of look-alikes alone may be a real one. With none beside it a letter counts, a word does not."""
+    text = m.string
+    before = _NEIGHBOUR_BEFORE.search(text, max(0, m.start() - BESIDE), m.start())
+    after = _NEIGHBOUR_AFTER.match(text, m.end(), m.end() + BESIDE)
+    beside = [x[1] for x in (before, after) if x]
+    return all(_LATIN.search(w) for w in beside) if beside else sum(c.isalpha() for c in m[0]) == 1
+
+
 def _latin_word(m: re.Match) -> str:
     word = m[0]
+    mixed = any(_LATIN.match(c) for c in word)
+    if mixed and not _MIXED_LIKE.isdisjoint(word):
+        return "".join(LOOKALIKE.get(c) or IN_LATIN.get(c, c) for c in word)
     if not _LIKE.search(word):
         return word
-    letters = [c for c in word if c.isalpha()]
-    if any(_LATIN.match(c) for c in letters) or all(c in LOOKALIKE for c in letters):
+    if mixed or (all(c in LOOKALIKE for c in word if c.isalpha()) and _among_latin(m)):
         return "".join(LOOKALIKE.get(c, c) for c in word)
     return word
 
@@ -92,7 +112,7 @@ def consistent_form(text: str) -> str:
     out = _IGNORED.sub("", text)
     if not _plain_characters().isdisjoint(out):
         out = out.translate(_plain())
-    if _LIKE.search(out):
+    if _LIKE.search(out) or not _MIXED_LIKE.isdisjoint(out):
         out = _WORD.sub(_latin_word, out)
     return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
 

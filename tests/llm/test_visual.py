@@ -51,3 +51,18 @@ def test_rows(spark):
         assert forms[i]["match_key"] == comparison_key(t)
     assert forms[98]["form"] is None and forms[98]["match_key"] is None
     assert with_forms(df.limit(0), "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, form",
+    [
+        ("оса и сор а у нас", "оса и сор а у нас"),
+        ("НАТО", "НАТО"),
+        ("the НАТО treaty", "the HATO treaty"),
+        ("ρaypal and ρ = 0.3", "paypal and ρ = 0.3"),
+        ("ο λόγος", "ο λόγος"),
+        ("а сold day", "a cold day"),
+    ],
+)
+def test_real_words_of_other_scripts_stay(text, form):
+    assert consistent_form(text) == form
