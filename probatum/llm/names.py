@@ -3,7 +3,7 @@
 Every distinct spelling is read into an anchor token (family name; place of an institution), the letters
 of its other tokens, and those tokens. Spellings with one anchor and one letter form a node, so no group
 is ever paired with itself. Anchors at small edit distance meet in a symmetric-delete index; two nodes
-that meet are linked where an optimal assignment of their tokens, permitting initials, abbreviations,
+that meet, by their anchors or by given names beside one anchor, are linked where an optimal assignment of their tokens, permitting initials, abbreviations,
 nicknames and small edits, leaves no contradiction. Nodes that hold contradicting full given names or
 middle initials are divided first. Entities are the connected components.
 
@@ -28,7 +28,9 @@ from probatum.session import checkpointed
 #: A given name makes up at least this share of the names written with a comma, so there are at most 1 / GIVEN_SHARE.
 GIVEN_SHARE = 5e-4
 GIVEN_COUNT = 3
-#: Shortest anchor that may differ by an edit.
+#: A given name whose first letter differs is a misspelling where its spellings are at most a third of the other's.
+RARE = 3
+#: Shortest anchor, and shortest given name in its first letter, that may differ by an edit.
 ANCHOR_LENGTH = 5
 
 # Short forms of given names, each with the names it stands for.
@@ -289,8 +291,10 @@ def token_cost(a: str, b: str) -> float:
     if a == b:
         return 0.0
     short, long = sorted((a.rstrip("."), b.rstrip(".")), key=len)
-    if not short or short == long:
+    if short == long:
         return 0.0
+    if not short:
+        return 2.0
     if len(short) == 1:
         return 0.2 if long[0] == short else 2.0
     if long in NICKNAMES.get(short, ()) or short in NICKNAMES.get(long, ()):
@@ -306,21 +310,44 @@ def token_cost(a: str, b: str) -> float:
 
 
 def assignment_cost(a: list[str], b: list[str]) -> float:
-    """Least total cost of assigning each token of the shorter list to its own token of the longer."""
+    """Least total cost of assigning each token of the shorter list to its own token of the longer, whatever their number.
+
+    Shortest augmenting paths with potentials, a row at a time.
+    """
     if len(a) > len(b):
         a, b = b, a
-    b = b[:12]
-    best = {0: 0.0}
-    for x in a[:12]:
-        step: dict[int, float] = {}
-        for used, cost in best.items():
-            for j, y in enumerate(b):
-                if not used >> j & 1:
-                    c = cost + token_cost(x, y)
-                    if c < step.get(used | 1 << j, 1e9):
-                        step[used | 1 << j] = c
-        best = step
-    return min(best.values(), default=0.0)
+    if not a:
+        return 0.0
+    costs = [[token_cost(x, y) for y in b] for x in a]
+    if len(a) == 1:
+        return min(costs[0])
+    rows, cols = len(a), len(b)
+    row_price, col_price = [0.0] * (rows + 1), [0.0] * (cols + 1)
+    taken, came = [0] * (cols + 1), [0] * (cols + 1)
+    for i in range(1, rows + 1):
+        taken[0], at = i, 0
+        least, seen = [float("inf")] * (cols + 1), [False] * (cols + 1)
+        while taken[at]:
+            seen[at] = True
+            row, step, nxt = taken[at], float("inf"), 0
+            for j in range(1, cols + 1):
+                if seen[j]:
+                    continue
+                slack = costs[row - 1][j - 1] - row_price[row] - col_price[j]
+                if slack < least[j]:
+                    least[j], came[j] = slack, at
+                if least[j] < step:
+                    step, nxt = least[j], j
+            for j in range(cols + 1):
+                if seen[j]:
+                    row_price[taken[j]] += step
+                    col_price[j] -= step
+                else:
+                    least[j] -= step
+            at = nxt
+        while at:
+            taken[at], at = taken[came[at]], came[at]
+    return sum(costs[taken[j] - 1][j - 1] for j in range(1, cols + 1) if taken[j])
 
 
 _PARSED = "struct<kind:string,anchor:string,letters:string,full:string,mid:string,others:array<string>>"
@@ -421,7 +448,19 @@ def name_entities(names: DataFrame) -> DataFrame:
     )
     left = nodes.select("kind", "letters", "anchor", F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
     right = nodes.select("kind", "letters", F.col("anchor").alias("other"), F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    met = near.join(left, ["kind", "anchor"]).join(right, ["kind", "other", "letters"]).filter("letters <> ''")
+    met = near.join(left, ["kind", "anchor"]).join(right, ["kind", "other", "letters"]).filter("letters <> ''").select("a", "b", "anchor", "other", "ta", "tb", "na", "nb")
+    # The other tokens are in the index too, beside their anchor: a first letter may be the one that is misspelt.
+    full = F.expr("array_distinct(transform(sequence(0, length(full)), i -> concat(substring(full, 1, i), substring(full, i + 2))))")
+    given = nodes.filter((F.col("kind") == "p") & (F.length("full") >= ANCHOR_LENGTH)).select("node", "anchor", "letters", "full", "tokens", "n", F.explode(full).alias("d")).withColumn("d", F.xxhash64("anchor", "d"))
+    misspelt = (
+        given.select("d", F.col("node").alias("a"), "anchor", F.col("letters").alias("la"), F.col("full").alias("fa"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
+        .join(given.select("d", F.col("node").alias("b"), F.col("anchor").alias("other"), F.col("letters").alias("lb"), F.col("full").alias("fb"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "d")
+        .filter("anchor = other and la <> lb and a < b")
+        .dropDuplicates(["a", "b"])
+        .filter(_edits("fa", "fb") <= 1)
+        .filter(F.least("na", "nb") * RARE <= F.greatest("na", "nb"))
+    )
+    met = met.unionByName(misspelt.select("a", "b", "anchor", "other", "ta", "tb", "na", "nb"))
     met = met.withColumn("cost", _cost("ta", "tb"))
     met = checkpointed(met.filter(F.col("cost") < F.greatest(F.lit(1.0), F.least(F.size("ta"), F.size("tb")) * 0.4)))
     # A node links to one node of another anchor, its nearest, so that it cannot bridge parted entities.

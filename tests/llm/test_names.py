@@ -57,3 +57,27 @@ def test_pairs(spark):
     assert not any(set(p) & set(people) for p in pairs)
     assert not any((p[0] in same) != (p[1] in same) for p in pairs)
     assert name_entities(df.limit(0)).count() == 0
+
+
+def test_assignment_is_optimal():
+    import itertools
+    import random
+
+    from probatum.llm.names import token_cost
+
+    rng = random.Random(4)
+    words = "k p kofi johanna hanna johanma dept department lang language w. richard dick".split()
+    for _ in range(200):
+        a, b = ([rng.choice(words) for _ in range(rng.randint(0, 4))] for _ in range(2))
+        if len(a) > len(b):
+            a, b = b, a
+        best = min((sum(token_cost(x, y) for x, y in zip(a, p)) for p in itertools.permutations(b, len(a))), default=0.0)
+        assert abs(assignment_cost(a, b) - best) < 1e-9, (a, b)
+    many = [f"word{i}" for i in range(14)]
+    assert assignment_cost(many, many[::-1]) == 0 and assignment_cost(many[:13] + ["zzzz"], many[::-1]) >= 2
+
+
+def test_a_first_letter_misspelt(spark):
+    df = spark.createDataFrame([(n,) for n in ("Sokormin Brelvanik", "Brelvanik, Sokormin", "S. Brelvanik", "Sokormin BRELVANIK", "Dokormin Brelvanik", "Brelvanik, Tokalis")], "name string")
+    got = {r["name"]: r["entity"] for r in name_entities(df).collect()}
+    assert got["Dokormin Brelvanik"] == got["Sokormin Brelvanik"] != got["Brelvanik, Tokalis"]
