@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatum.operators.ranking import numbered
+from probatum.session import checkpointed
 
 ZERO = "0" * 64
 CANON_VERSION = 1
@@ -120,12 +121,26 @@ def rerecorded(recordings: DataFrame, seals: DataFrame, retirements: DataFrame,
     s = with_previous(s, [ledger, "path"], "_n", {"_was": F.col("sha256")})
     first = s.groupBy(ledger, "path").agg(F.min("seq").alias("_first"))
     changed = s.filter(F.col("_was").isNotNull() & (F.col("_was") != F.col("sha256"))).join(first, [ledger, "path"])
-    changed = changed.select(F.col(ledger).alias("_l"), F.col("path").alias("_p"), F.col("seq").alias("_s"), "_first")
-    fresh = kept.join(
-        changed,
-        (kept[ledger] == F.col("_l")) & (kept["path"] != F.col("_p")) & (F.col("_s") > F.col("_seq")) & (F.col("_s") < F.col("seq")) & (F.col("_first") < F.col("_seq")),
-        "left_anti",
+    # A seal between the two runs, of another path that was sealed before the first: the least such first sealing in a
+    # range of the ledger. Ranges are put together from blocks of two to the power of k, a few for each level, and a
+    # block keeps the least of all paths and the least of all others, so no pair of runs meets the seals themselves.
+    levels = (seals.agg(F.max("seq")).first()[0] or 0).bit_length() + 1
+    blocks = changed.select(ledger, "path", "_first", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_k"), "seq").withColumn("_b", F.expr("shiftright(cast(seq as bigint), _k)"))
+    node = [ledger, "_k", "_b"]
+    per_path = checkpointed(blocks.groupBy(*node, "path").agg(F.min("_first").alias("_first")))
+    least = per_path.groupBy(*node).agg(F.min(F.struct("_first", "path")).alias("_m"))
+    others = per_path.join(least, node).filter(F.col("path") != F.col("_m.path")).groupBy(*node).agg(F.min("_first").alias("_next"))
+    least = least.join(others, node, "left").select(*node, F.col("_m.path").alias("_mp"), F.col("_m._first").alias("_mf"), "_next")
+    parts = F.expr(
+        f"flatten(transform(sequence(0, {levels}), k -> transform(filter(array("
+        "struct(k as k, shiftright(_lo + shiftleft(1L, k) - 1, k) as b, shiftright(_hi, k) as e, true as l), "
+        "struct(k as k, shiftright(_hi, k) - 1 as b, shiftright(_lo + shiftleft(1L, k) - 1, k) as e, false as l)), "
+        "x -> if(x.l, x.b < x.e and x.b % 2 = 1, x.b >= x.e and x.b % 2 = 0)), x -> struct(x.k as _k, x.b as _b))))"
     )
+    asked = kept.withColumn("_lo", F.col("_seq").cast("long") + 1).withColumn("_hi", F.col("seq").cast("long"))
+    met = asked.select(ledger, "path", "seq", "_seq", F.explode(parts).alias("_n")).select(ledger, "path", "seq", "_seq", "_n.*").join(least, node)
+    between = met.filter(F.when(F.col("_mp") != F.col("path"), F.col("_mf")).otherwise(F.col("_next")) < F.col("_seq")).select(ledger, "path", "seq").distinct()
+    fresh = kept.join(between, [ledger, "path", "seq"], "left_anti")
     return fresh.groupBy(ledger, "path").agg(F.max_by("_run", "seq").alias("earlier_run"), F.max_by("run_id", "seq").alias("later_run"))
 
 

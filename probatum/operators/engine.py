@@ -57,17 +57,20 @@ def resolve_addresses(addresses: DataFrame, cells: DataFrame, texts: DataFrame)
     grid = cell.filter("address_kind = 'table'")
     same_table = F.col("table_name").isNull() | F.col("table_name").eqNullSafe(F.col("_table"))
     by_where = a.filter("kind = 'table'")
-    wanted = by_where.select(*_ID, "path", "table_name", F.size("predicate").alias("_need"), F.explode("predicate").alias("_column", "_value"))
-    rows = (
-        wanted.join(grid.select("path", "_table", "row_ord", "_column", F.col("raw").alias("_value")), ["path", "_column", "_value"])
-        .filter(same_table)
-        .groupBy(*_ID, "path", "_table", "row_ord", "_need")
-        .agg(F.count("*").alias("_have"))
-        .filter("_have = _need")
-    )
+    # The rows of a file come together once for each set of columns that predicates name, and rows with the same values
+    # are counted before any address meets them: a value that fills a third of a table is one row of the join.
+    said = lambda k, v: F.concat(F.length(k).cast("string"), F.lit(":"), k, F.coalesce(F.concat(F.lit("="), v), F.lit("~")))
+    names = F.array_sort(F.map_keys("predicate"))
+    where = by_where.select(*_ID, "path", "table_name", "column", names.alias("_cols"), F.array_join(F.transform(names, lambda k: said(k, F.col("predicate")[k])), "\u0001").alias("_key"))
+    sets = where.select("path", "_cols").distinct().withColumn("_column", F.explode("_cols"))
+    given = grid.join(sets, ["path", "_column"]).groupBy("path", "_table", "row_ord", "_cols").agg(F.sort_array(F.collect_list(F.struct("_column", "raw"))).alias("_kv"))
+    given = given.filter(F.size("_kv") == F.size("_cols")).withColumn("_key", F.array_join(F.transform("_kv", lambda x: said(x["_column"], x["raw"])), "\u0001"))
+    counted = given.groupBy("path", "_cols", "_key", "_table").agg(F.count("*").alias("_rows"), F.min("row_ord").alias("row_ord"))
+    met = where.join(counted, ["path", "_cols", "_key"]).filter(same_table).groupBy(*_ID, "path", "column").agg(F.sum("_rows").alias("_rows"), F.min("row_ord").alias("row_ord"), F.first("_table").alias("_table"))
     values = grid.select("path", F.col("_table").alias("_t2"), "row_ord", "_column", "raw", "native_type", "is_container")
-    picked = rows.join(by_where.select(*_ID, F.col("column").alias("_column")), _ID).join(values, ["path", "row_ord", "_column"]).filter(F.col("_table").eqNullSafe(F.col("_t2")))
-    located = _classify(by_where, picked, "row_absent")
+    single = met.filter("_rows = 1").withColumnRenamed("column", "_column").join(values, ["path", "row_ord", "_column"]).filter(F.col("_table").eqNullSafe(F.col("_t2"))).select(*_ID, "raw", "native_type", "is_container")
+    many = met.filter("_rows > 1").select(*_ID, F.explode(F.array(F.lit(1), F.lit(2))).alias("_x"), F.lit(None).cast("string").alias("raw"), F.lit("string").alias("native_type"), F.lit(False).alias("is_container")).drop("_x")
+    located = _classify(by_where, single.unionByName(many), "row_absent")
     columns = grid.select("path", "_column").distinct()
     named = by_where.select(*_ID, "path", F.explode(F.array_union(F.array("column"), F.map_keys("predicate"))).alias("_column"))
     unknown = named.join(columns, ["path", "_column"], "left_anti").select(*_ID).distinct().withColumn("_unknown", F.lit(True))

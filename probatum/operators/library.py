@@ -139,7 +139,9 @@ def best_candidate(records: DataFrame, corpus: DataFrame) -> DataFrame:
     """The corpus record most like each record that passes every guard: (record_id, candidate_id, score).
 
     Blocked on the first author's family name in any spelling and on the year: a common family name meets
-    only works of adjacent years. Titles must be at least TITLE_LEAST alike; the venue ranks versions of a work.
+    only works of adjacent years. An unknown year disagrees with none, so where either side has none a word of
+    the title stands for it, which keeps a common name from meeting everything. Titles must be at least TITLE_LEAST alike; the venue ranks versions of
+    a work. A record without author matches nothing.
     """
     def spread(df: DataFrame, key: str) -> DataFrame:
         return df.select(
@@ -149,7 +151,17 @@ def best_candidate(records: DataFrame, corpus: DataFrame) -> DataFrame:
 
     r = spread(records, "record_id").withColumn("near", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
     c = spread(corpus, "candidate_id").select(F.col("id").alias("cid"), F.col("title").alias("ct"), F.col("venue").alias("cv"), F.col("y").alias("near"), "family")
-    met = r.join(c, ["family", "near"]).dropDuplicates(["id", "cid"])
+    dated = r.join(c, ["family", "near"])
+    # Every word of a title, so that no pair with one in common is lost.
+    words = lambda t: F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 3))).alias("word")
+    known = lambda df: df.filter("y is not null")
+    one = spread(records, "record_id")
+    two = spread(corpus, "candidate_id").select(F.col("id").alias("cid"), F.col("title").alias("ct"), F.col("venue").alias("cv"), "y", "family")
+    undated = one.filter("y is null").select("*", words("title")).join(two.select("cid", "ct", "cv", "family", words("ct")), ["family", "word"]).unionByName(
+        known(one).select("*", words("title")).join(two.filter("y is null").select("cid", "ct", "cv", "family", words("ct")), ["family", "word"])
+    )
+    columns = ["id", "title", "venue", "cid", "ct", "cv"]
+    met = dated.select(*columns).unionByName(undated.select(*columns)).dropDuplicates(["id", "cid"])
     t = similarity_udf("title", "ct")
     scored = met.withColumn("t", t).filter(F.col("t") >= TITLE_LEAST)
     v = F.when((F.coalesce("venue", F.lit("")) != "") & (F.coalesce("cv", F.lit("")) != ""), similarity_udf("venue", "cv")).otherwise(0.0)

@@ -13,6 +13,7 @@ from probatum.functions.exact import number, printed_agree, printed_places, same
 from probatum.functions.folds import folded
 from probatum.functions.numerals import inventory
 from probatum.operators.survey import bindings
+from probatum.session import checkpointed
 
 # Levels and quantiles a formula prints, words that split a question's data, suffixes of outputs.
 QUANTILES = ("1.96", "1.645", "2.576", "1.28")
@@ -158,12 +159,13 @@ def attribute(fragments: DataFrame, keys: DataFrame, artifacts: DataFrame, least
 
 
 def unmentioned(labels: DataFrame, texts: DataFrame, group: str) -> DataFrame:
-    """Labels that no text of a group mentions as a word: (group, label). Labels are single words, a plan's own handful."""
-    names = sorted({r["label"].lower() for r in labels.select("label").distinct().collect() if r["label"]})
-    if not names:
-        return texts.select(group, F.lit("").alias("label")).limit(0)
+    """Labels that no text of a group mentions as a word: (group, label). Labels are single words, those of a plan, and
+    every group is asked for each of them: the result itself is groups times labels less those mentioned."""
+    names = labels.select(F.lower("label").alias("label")).filter("label <> ''").distinct()
+    named = checkpointed(names.agg(F.array_sort(F.collect_set("label")).alias("labels")).withColumn("_one", F.lit(1)))
     words = texts.select(group, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("label")).distinct()
-    wanted = texts.select(group).distinct().withColumn("label", F.explode(F.array(*[F.lit(n) for n in names])))
+    words = words.join(names, "label", "left_semi")
+    wanted = texts.select(group).distinct().withColumn("_one", F.lit(1)).join(named, "_one").select(group, F.explode("labels").alias("label"))
     return wanted.join(words, [group, "label"], "left_anti")
 
 

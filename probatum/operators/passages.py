@@ -94,7 +94,15 @@ def covered_by(fragments: DataFrame, spans: DataFrame, least: int = 12) -> DataF
     f = fragments.withColumn("_f", folded("fragment")).filter(F.col("_f") != "")
     s = spans.select("span_id", F.col("source").alias("_s"), folded("span").alias("_span"))
     whole = f.groupBy("quotation_id", "source").agg(F.collect_list("_f").alias("_fs"), F.max(F.length("_f")).alias("_long"))
-    joined = whole.filter(F.col("_long") >= least).join(s, F.col("source") == F.col("_s"))
+    asked = whole.filter(F.col("_long") >= least)
+    # A long fragment is sought by its words; what is short may begin and end inside words and meets the spans of its source.
+    first = F.array_max(F.transform("_fs", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    asked = checkpointed(asked.withColumn("_first", first).withColumn("_sought", F.size(F.split("_first", r"[^\p{L}\p{N}]+")) > KEY_WORDS + 3))
+    met = candidates(asked.filter("_sought").select(F.col("quotation_id").alias("quote_id"), "source", F.col("_first").alias("quote")), spans.select(F.col("span_id").alias("text_id"), "source", F.col("span").alias("text")))
+    long = asked.join(met.select(F.col("quote_id").alias("quotation_id"), F.col("text_id").alias("span_id")), "quotation_id").join(s, "span_id")
+    short = asked.filter("not _sought").join(s, F.col("source") == F.col("_s"))
+    columns = ["quotation_id", "source", "_fs", "_long", "span_id", "_s", "_span"]
+    joined = long.filter(F.col("source") == F.col("_s")).select(*columns).unionByName(short.select(*columns))
     fits = joined.filter(F.forall("_fs", lambda x: F.contains(F.col("_span"), x)))
     hit = fits.groupBy("quotation_id").agg(F.min("span_id").alias("span_id"))
     finding = F.when(F.col("_long") < least, "unresolvable").when(F.col("span_id").isNotNull(), "covered").otherwise("uncovered")
