@@ -132,6 +132,18 @@ ORACLES = {
                    FROM printed_numbers WHERE num_value IS NOT NULL),
         s AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)) AS x FROM orders)
         SELECT printed, min(o_orderkey) AS output_id FROM p, s WHERE abs(x - v) * 2 <= q OR abs(x * 100 - v) * 2 <= q GROUP BY printed""",
+    "exempt_numbers": r"""
+        WITH j AS (SELECT p.text, substring(r.text, greatest(char_offset - 29, 1), least(char_offset, 30)) AS b, substring(r.text, char_offset + length(p.text) + 1, 30) AS a
+                   FROM printed_numbers p JOIN readings r USING (reading_id)),
+        w AS (SELECT *, regexp_replace(text, '^[-+]|%$', '', 'g') AS whole FROM j)
+        SELECT CASE
+          WHEN whole IN ('1.96', '1.645', '2.576', '1.28') OR (whole IN ('0.05', '0.01', '0.001', '95', '99', '90', '0.95', '0.5')
+               AND (regexp_matches(b, '(?:[<>=≤≥]|\balpha\b|\blevel\b|\bp\b|α)\s*$') OR regexp_matches(a, '^\s*(?:%\s*)?(?:CI\b|confidence|level|quantile)'))) THEN 'constant'
+          WHEN NOT regexp_matches(whole, '[.eE]') AND length(regexp_replace(whole, '^0+|,', '', 'g')) < 2 THEN 'single_digit'
+          WHEN regexp_matches(b, '[A-Za-z]\w*[-_]\n?$') OR regexp_matches(a, '^[-_][A-Za-z]') THEN 'name'
+          WHEN regexp_matches(b, '(?i)\b(?:table|figure|fig\.|section|sec\.|equation|eq\.|appendix|chapter|page|p\.)\s*\(?\n?$') THEN 'place'
+          WHEN regexp_matches(b, '(?i)(?:doi|https?://|arxiv|10\.\d{4})\S*\n?$') THEN 'identifier' END AS exempt, count(*) AS n
+        FROM w GROUP BY 1""",
     "unmentioned_areas": """
         WITH w AS (SELECT DISTINCT project, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS label FROM documents)
         SELECT g.project, area AS label FROM (SELECT DISTINCT project FROM documents WHERE text IS NOT NULL) g, subject_areas a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.project IS NOT DISTINCT FROM g.project AND w.label = a.area)""",

@@ -180,6 +180,12 @@ ORACLES = {
     "bound_numbers": """
         WITH q AS (SELECT covered_id, reading_id, strpos(text, quote) - 1 AS lo, length(quote) AS len FROM covered JOIN readings USING (artifact_id, page) WHERE quote <> '' AND strpos(text, quote) > 0)
         SELECT number_id, count(*) AS n_quotes, min(covered_id) AS first_quote FROM printed_numbers JOIN q USING (reading_id) WHERE lo <= char_offset AND char_offset < lo + len GROUP BY number_id""",
+    "prose_locator": r"""
+        WITH r AS (SELECT reading_id, list_distinct(list_transform(regexp_extract_all(text, 'by hand gave[\s\p{Z}]*([^\s\p{Z}]+)', 1), lambda x: regexp_replace(x, '(\d)\.$', '\1'))) AS v FROM readings WHERE text IS NOT NULL),
+        s AS (SELECT reading_id, CASE len(v) WHEN 0 THEN 'absent' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, CASE WHEN len(v) = 1 THEN v[1] END AS stored FROM r),
+        t AS (SELECT *, regexp_full_match(regexp_replace(stored, '%$', ''), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,9})?') AS numeric FROM s)
+        SELECT reading_id, resolution, stored, CASE WHEN numeric THEN 'verified' ELSE 'not_found' END AS outcome,
+               CASE resolution WHEN 'absent' THEN 'passage_absent' WHEN 'ambiguous' THEN 'passage_ambiguous' ELSE CASE WHEN numeric THEN 'value_match' ELSE 'value_not_numeric' END END AS reason FROM t""",
     "survey_candidates": """
         WITH p AS (SELECT DISTINCT num_value AS printed, CAST(num_value AS DECIMAL(38,9)) AS v,
                           CAST('1e-' || CASE WHEN contains(num_value, '.') THEN length(split_part(num_value, '.', 2)) ELSE 0 END AS DECIMAL(18,9)) AS q

@@ -148,3 +148,45 @@ def test_survey(spark):
     f = spark.createDataFrame([("t", f"p{i}", "h") for i in range(50)], "tree string, path string, sha string")
     a, b = (tree_digests(x, "tree", "path", "sha").collect()[0]["digest"] for x in (f, f.repartition(5)))
     assert a == b != tree_digests(f.filter("path <> 'p3'"), "tree", "path", "sha").collect()[0]["digest"]
+
+
+def test_unknown_years_disagree_with_none(spark):
+    from probatum.operators.library import best_candidate
+
+    schema = "title string, authors array<string>, year string, venue string"
+    works = [(1, "On the maize plot of Runut", ["Runut, K."], "2001", None), (2, "The vowel and the loanword", ["Homon, B."], None, None), (3, "Other things entirely", ["Runut, K."], "2001", None)]
+    records = [(10, "On the maize plot of Runut", ["K. Runut"], None, None), (11, "The vowel and the loanword", ["B. Homon"], "1999", None), (12, "On the maize plot of Runut", ["K. Runut"], "2001", None),
+               (13, "On the maize plot of Runut", ["K. Runut"], "1950", None), (14, "On the maize plot of Runut", None, "2001", None), (15, None, ["K. Runut"], None, None)]
+    got = best_candidate(spark.createDataFrame(records, "record_id long, " + schema), spark.createDataFrame(works, "candidate_id long, " + schema))
+    assert {r["record_id"]: r["candidate_id"] for r in got.collect()} == {10: 1, 11: 2, 12: 1}
+
+
+def test_rerecorded_is_the_rule_pair_by_pair(spark):
+    import random
+
+    from probatum.operators.chain import rerecorded
+
+    rng = random.Random(8)
+    events = [("hot" if rng.random() < 0.6 else rng.choice("ab"), n, rng.choice(["run", "run", "seal", "retire"]), f"p{rng.randint(0, 4)}", str(rng.randint(0, 3))) for n in range(400)]
+    seen, rows = {}, []
+    for ledger, _, kind, path, sha in events:
+        rows.append((ledger, seen.setdefault(ledger, 0), kind, path, sha))
+        seen[ledger] += 1
+    df = spark.createDataFrame([(a, n, k, p, s, f"r{n}") for a, n, k, p, s in rows], "ledger string, seq long, kind string, path string, sha256 string, run_id string")
+    got = {(r["ledger"], r["path"]): (r["earlier_run"], r["later_run"]) for r in rerecorded(*[df.filter(F.col("kind") == k) for k in ("run", "seal", "retire")]).collect()}
+    want = {}
+    for ledger in seen:
+        mine = [r for r in rows if r[0] == ledger]
+        for path in {r[3] for r in mine}:
+            runs = [r for r in mine if r[2] == "run" and r[3] == path]
+            for one, two in zip(runs, runs[1:]):
+                between = [r for r in mine if one[1] < r[1] < two[1]]
+                if one[4] == two[4] or any(r[2] == "retire" and r[3] == path for r in between):
+                    continue
+                changed = False
+                for s in (r for r in between if r[2] == "seal" and r[3] != path):
+                    before = [r for r in mine if r[2] == "seal" and r[3] == s[3] and r[1] < s[1]]
+                    changed |= bool(before) and before[-1][4] != s[4] and before[0][1] < one[1]
+                if not changed:
+                    want[ledger, path] = (f"r{one[1]}", f"r{two[1]}")
+    assert got == want and want
