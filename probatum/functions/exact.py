@@ -218,6 +218,13 @@ def within(stored: Column | str, reported: Column | str, mode: Column | str, tol
     return F.when(short, near).otherwise(_within_long(only(stored), only(reported), relative, only(tolerance)))
 
 
+def within_decimals(stored: Column, reported: Column, mode: Column | str, tolerance: Column) -> Column:
+    """The same for columns of decimals of at most nine digits before the point and nine after it, in the JVM alone."""
+    relative = F.coalesce((F.col(mode) if isinstance(mode, str) else mode) == "relative", F.lit(False))
+    s, r, t = (c.cast("decimal(18,9)") for c in (stored, reported, tolerance))
+    return F.abs(s - r) <= F.when(relative, t * F.abs(r)).otherwise(t)
+
+
 @arrow("boolean")
 def _mean_long(total: pd.Series, count: pd.Series, reported: pd.Series) -> pd.Series:
     def one(s, n, r):

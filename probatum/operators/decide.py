@@ -63,8 +63,9 @@ def decide(located: DataFrame, kind: str = "table", reported: str = "reported",
 
     agree is the comparison of the two values, that at printed precision (of any number of digits) unless another is given.
     """
-    same = agrees(stored, reported) if agree is None else agree
-    res = F.col("resolution")
+    # A column of its own, so that the comparison is made once however often it is asked.
+    located = located.withColumn("_same", agrees(stored, reported) if agree is None else agree)
+    same, res = F.col("_same"), F.col("resolution")
     numeric = same.isNotNull()
     extraction = F.when((res == "resolved") & ~numeric, "invalid").otherwise(_lookup(res, RESOLUTION))
     comparison = F.when((res != "resolved") | ~numeric, "not_applicable").when(same, "match").otherwise("mismatch")
@@ -79,7 +80,7 @@ def decide(located: DataFrame, kind: str = "table", reported: str = "reported",
         .otherwise("value_mismatch")
     )
     out = located.withColumn("execution", F.lit("completed")).withColumn("extraction", extraction).withColumn("comparison", comparison)
-    return out.withColumn("outcome", outcome(F.col("execution"), F.col("extraction"), F.col("comparison"))).withColumn("reason", reason)
+    return out.withColumn("outcome", outcome(F.col("execution"), F.col("extraction"), F.col("comparison"))).withColumn("reason", reason).drop("_same")
 
 
 def misplaced(decisions: DataFrame, places: str = "places", reported: str = "reported") -> DataFrame:

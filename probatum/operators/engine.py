@@ -146,6 +146,8 @@ def verify(evidence: DataFrame, artifacts: DataFrame, files: DataFrame, cells: D
     bounded = lambda c: F.when(tolerant, F.col(c))
     plain = F.when(tolerant, within(bounded("value"), bounded("reported"), "mode", bounded("tolerance"))).otherwise(agrees("value", "reported"))
     same = F.when(F.col("kind") == "aggregate", statistic).when(F.col("kind") == "correspondence", F.col("_pairs") == "match").otherwise(plain)
+    e = e.withColumn("_same", same)
+    same = F.col("_same")
     misplaced = F.col("places").isNotNull() & (F.col("places") != printed_places("reported"))
     quote_why = F.when(F.col("_state") == "found", "passage_present").when(F.col("_state") == "ambiguous", "quotation_ambiguous").when(F.col("_state").isNull(), "extractor_missing").otherwise("passage_absent")
     reason = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatum.functions.exact import agrees, mean_agrees, rendered, shift_of, within
+from probatum.functions.exact import agrees, mean_agrees, rendered, shift_of, within, within_decimals
 from probatum.operators.aggregate import STATISTICS, exact_median, exact_statistics, statistic_agrees
 from probatum.operators.correspond import side_pairs, verdicts
 from probatum.operators.decide import aliases, decide, locate_rows, misplaced, outcome_counts, pin_state
@@ -100,7 +100,7 @@ def verify_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = line.join(part, "l_partkey").withColumn("reported", (F.col("q") * F.col("price")).cast(_MONEY))
     j = j.withColumn("mode", F.when(F.col("l_linenumber") % 2 == 0, "absolute").otherwise("relative"))
     tolerance = F.when(F.col("mode") == "absolute", F.lit("500.00")).otherwise(F.lit("0.05"))
-    ok = within(F.col("stored"), F.col("reported"), "mode", tolerance)
+    ok = within_decimals(F.col("stored"), F.col("reported"), "mode", tolerance)
     return j.withColumn("agrees", ok).groupBy("mode", "agrees").agg(F.count("*").alias("n"), F.sum("stored").alias("stored_sum"))
 
 
