@@ -16,7 +16,7 @@ UNSUPPORTED = ("mat", "rda", "rdata", "sas7bdat")
 FORMATS = {
     "json": "tree", "yaml": "tree", "yml": "tree", "csv": "table", "tsv": "table", "txt": "prose", "md": "prose", "tex": "prose",
     "parquet": "columnar", "feather": "columnar", "arrow": "columnar", "npy": "array", "npz": "array", "sqlite": "sqlite", "db": "sqlite",
-    "xlsx": "sheet", "html": "page", "xml": "page", "docx": "page",
+    "xlsx": "sheet", "dta": "stata", "rds": "r_frame", "sav": "spss", "zsav": "spss", "pdf": "page", "html": "page", "xml": "page", "docx": "page",
 }
 
 # What a resolution means for the extraction stage and the reason given, by kind of address.

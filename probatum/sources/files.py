@@ -14,7 +14,7 @@ import re
 import sqlite3
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from probatum.schema import FORMATS, NEVER_OPENED, UNSUPPORTED
 from probatum.session import importable
 from probatum.sources.pages import PAGE_READERS
+from probatum.sources.statistics_files import r_frame, stata
 from probatum.sources.trees import load_json, load_yaml, walk
 
 CELLS = (
@@ -170,7 +171,25 @@ def _sheet(content: bytes, suffix: str, wanted: frozenset[str] | None = None) ->
         yield from _table_rows([str(header[i]) for i in kept], ([r[i] if i < len(r) else None for i in kept] for r in rows), "table", sheet.title, wanted)
 
 
-READERS = {"table": _delimited, "tree": _tree, "columnar": _columnar, "array": _array, "sqlite": _sqlite, "sheet": _sheet}
+def _frame(reader: Callable) -> Callable:
+    def read(content: bytes, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
+        header, columns = reader(content, wanted)
+        yield from _table_rows(header, zip(*columns), "table", None)
+
+    return read
+
+
+def _spss(content: bytes, suffix: str, wanted: frozenset[str] | None = None) -> Iterator[tuple]:
+    import pyreadstat  # where it is installed
+
+    with tempfile.NamedTemporaryFile(suffix=f".{suffix}") as f:  # read within this task and removed
+        f.write(content)
+        f.flush()
+        data, meta = pyreadstat.read_sav(f.name, output_format="dict", usecols=None if wanted is None else list(wanted))
+    yield from _table_rows(list(data), zip(*data.values()), "table", None)
+
+
+READERS = {"stata": _frame(stata), "r_frame": _frame(r_frame), "spss": _spss, "table": _delimited, "tree": _tree, "columnar": _columnar, "array": _array, "sqlite": _sqlite, "sheet": _sheet}
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,15 +228,19 @@ def cells(files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return f.mapInPandas(_read, CELLS)
 
 
-def page_texts(files: DataFrame) -> DataFrame:
-    """(path, extractor, text) of pages and documents by suffix; text is null where it cannot be read."""
-    known = files.filter(F.col("suffix").isin(*PAGE_READERS))
+def page_texts(files: DataFrame, readers: dict[str, tuple[str, Callable[[bytes], str]]] | None = None) -> DataFrame:
+    """(path, extractor, text) of pages and documents by suffix; text is null where it cannot be read.
+
+    readers(suffix to name and function) stand before the built-in ones: a program of one's own for PDF files, say.
+    """
+    chosen = PAGE_READERS | (readers or {})
+    known = files.filter(F.col("suffix").isin(*chosen))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for path, suffix, content in zip(b["path"], b["suffix"], b["content"]):
-                name, reader = PAGE_READERS[suffix]
+                name, reader = chosen[suffix]
                 try:
                     out.append((path, name, reader(bytes(content))))
                 except Exception:  # noqa: BLE001

@@ -118,3 +118,77 @@ def test_bytes_beyond_a_block(tmp_path):
     p.write_text("first\n" + "x" * 200_000 + "\n\n")
     assert sinks.last_line(str(p)) == "x" * 200_000
     assert io.BytesIO(b"").read() == b""
+
+
+def _pdf(pages):
+    """A small PDF: one compressed stream a page, the second font with a map of its own."""
+    import zlib
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Font /Subtype /Type1 /BaseFont /Times >>", 4: b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"}
+    cmap = b"1 beginbfchar <0001> <00E9> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
+    objects[5] = b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap)
+    kids = []
+    for i, ops in enumerate(pages):
+        data = zlib.compress(ops)
+        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % (11 + 2 * i)
+        objects[11 + 2 * i] = b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(data), data)
+        kids.append(b"%d 0 R" % (10 + 2 * i))
+    objects[2] = b"<< /Type /Pages /Kids [" + b" ".join(kids) + b"] /Count %d >>" % len(pages)
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (n, b) for n, b in objects.items()) + b"\ntrailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf():
+    from probatum.sources.pdf import pdf_pages
+
+    one = rb"BT /F1 12 Tf 72 700 Td (The mean \(n = 40\)) Tj 0 -14 Td [(was) -250 (4) 20 (.2)] TJ ET"
+    two = b"BT /F2 12 Tf 1 0 0 1 72 700 Tm <00010002> Tj 1 0 0 1 99 700 Tm <00030004> Tj ET"
+    assert pdf_pages(_pdf([one, two])) == ["The mean (n = 40)\nwas 4.2", "\u00e9a bc"]
+    assert pdf_pages(_pdf([])) == []
+    with pytest.raises(ValueError):
+        pdf_pages(b"no pdf")
+
+
+def _rds(columns, version=3):
+    import gzip
+    import struct
+
+    i = lambda n: struct.pack(">i", n)
+    chars = lambda s: i(9 | 64 << 12) + (i(-1) if s is None else i(len(s.encode())) + s.encode())
+    strings = lambda xs: i(16) + i(len(xs)) + b"".join(map(chars, xs))
+    tagged = lambda name, value: i(2 | 0x400) + i(1) + chars(name) + value
+    body = i(19 | 0x300) + i(len(columns))
+    for values in columns.values():
+        if isinstance(values, tuple):  # a factor
+            codes, levels = values
+            body += i(13 | 0x300) + i(len(codes)) + b"".join(map(i, codes)) + tagged("levels", strings(levels)) + tagged("class", strings(["factor"])) + i(254)
+        elif all(v is None or isinstance(v, int) for v in values):
+            body += i(13) + i(len(values)) + b"".join(i(-(1 << 31)) if v is None else i(v) for v in values)
+        elif all(v is None or isinstance(v, float) for v in values):
+            body += i(14) + i(len(values)) + b"".join(b"\x7f\xf0\x00\x00\x00\x00\x07\xa2" if v is None else struct.pack(">d", v) for v in values)
+        else:
+            body += strings(values)
+    body += tagged("names", strings(list(columns))) + tagged("class", strings(["data.frame"])) + tagged("row.names", i(13) + i(2) + i(-(1 << 31)) + i(-2)) + i(254)
+    head = b"X\n" + i(version) + i(0x00040301) + i(0x00030500) + (i(5) + b"UTF-8" if version == 3 else b"")
+    return gzip.compress(head + body)
+
+
+def test_statistics_files(spark, tmp_path):
+    from probatum.sources.statistics_files import r_frame
+
+    (tmp_path / "d.rds").write_bytes(_rds({"k": ["a", None], "v": [0.5, None], "n": [7, None], "f": ([2, 1], ["lo", "hi"])}))
+    (tmp_path / "e.rds").write_bytes(b"nothing")
+    import pandas as pd
+
+    pd.DataFrame({"site": pd.Series([1, 2], dtype="int8"), "x": pd.Series([0.1, 2.5], dtype="float32"), "s": ["p", "q"]}).to_stata(tmp_path / "t.dta", write_index=False, value_labels={"site": {1: "north", 2: "south"}})
+    (tmp_path / "p.pdf").write_bytes(_pdf([b"BT /F1 12 Tf (A page) Tj ET"]))
+    (tmp_path / "s.sav").write_bytes(b"$FL2")
+    files = listed(spark, str(tmp_path))
+    got = {(r["path"].rsplit("/", 1)[1], r["row_ord"], r["column"]): r["raw"] for r in cells(files).filter("status = 'ok'").collect()}
+    assert got["d.rds", 0, "k"] == "a" and got["d.rds", 1, "k"] is None and got["d.rds", 0, "v"] == "0.5" and got["d.rds", 1, "v"] is None
+    assert got["d.rds", 0, "n"] == "7" and got["d.rds", 0, "f"] == "hi" and got["d.rds", 1, "f"] == "lo"
+    assert got["t.dta", 0, "site"] == "1" and got["t.dta", 0, "x"] == "0.1" and got["t.dta", 1, "x"] == "2.5" and got["t.dta", 1, "s"] == "q"
+    status = {r["path"].rsplit("/", 1)[1]: r["status"] for r in cells(files).filter("status <> 'ok'").collect()}
+    assert status["e.rds"] == "unreadable" and status["p.pdf"] == "text" and status["s.sav"] in ("extractor_missing", "unreadable")
+    assert {r["path"].rsplit("/", 1)[1]: r["text"] for r in page_texts(files).collect()} == {"p.pdf": "A page"}
+    assert page_texts(files, {"pdf": ("mine", lambda c: "other")}).first()["text"] == "other"
+    assert r_frame(_rds({"a": [1, 2]}, 2), frozenset()) == ([], [])
