@@ -106,9 +106,17 @@ def _reader(given: GivenNames):
     @arrow(_READ)
     def read(titles: pd.Series, authors: pd.Series, years: pd.Series, dois: pd.Series) -> pd.DataFrame:
         rows = []
+        known: dict[str, str | None] = {None: None}
+
+        def named(name: str | None) -> str | None:
+            if name not in known:
+                r = read_name(name, given)
+                known[name] = r[1] + "|" + r[2][:1] if r else None
+            return known[name]
+
         for t, a, y, d in zip(titles, authors, years, dois):
             title = clean_title(t)
-            names = list(dict.fromkeys(r[1] + "|" + r[2][:1] for n in (a if a is not None else ()) if (r := read_name(n, given))))
+            names = list(dict.fromkeys(x for n in (a if a is not None else ()) if (x := named(n))))
             words = list(dict.fromkeys(_WORDS.findall(title)))
             record = (words, names, _year(y), clean_doi(d), kind_of_work(title), bool(_CUT.search(title)))
             rows.append((*record, xxhash.xxh64_intdigest(repr(record).encode()) - (1 << 63)))
@@ -216,7 +224,7 @@ def title_match(a: list[str], wa: list[float], b: list[str], wb: list[float]) ->
             if got_b[j]:
                 continue
             s = 0.0
-            if len(w) >= 4 and len(v) >= 4:
+            if len(w) >= 4 and len(v) >= 4 and abs(len(w) - len(v)) <= 2:
                 most = 1 if min(len(w), len(v)) < 7 else 2
                 if edits(w, v, most) <= most:
                     s = 0.9

@@ -134,8 +134,26 @@ def plain(text: str) -> str:
 
 def edits(a: str, b: str, most: int = 2) -> int:
     """Edit distance with transpositions, or most + 1 where it is larger."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # A letter that the other lacks costs an edit, so most pairs of unlike words end here.
+    letters, others = set(a), set(b)
+    if len(letters - others) > most or len(others - letters) > most:
+        return most + 1
+    # What both begin and end with costs nothing.
+    start, short = 0, min(len(a), len(b))
+    while start < short and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < short - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if len(a) <= 1 and len(b) <= 1:
+        return 1
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
     before: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -450,7 +468,8 @@ def name_entities(names: DataFrame) -> DataFrame:
     right = nodes.select("kind", "letters", F.col("anchor").alias("other"), F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     met = near.join(left, ["kind", "anchor"]).join(right, ["kind", "other", "letters"]).filter("letters <> ''").select("a", "b", "anchor", "other", "ta", "tb", "na", "nb")
     # The other tokens are in the index too, beside their anchor: a first letter may be the one that is misspelt.
-    full = F.expr("array_distinct(transform(sequence(0, length(full)), i -> concat(substring(full, 1, i), substring(full, i + 2))))")
+    # Only the deletes of the first letters are wanted: names that differ further on have one first letter and one node.
+    full = F.array_distinct(F.array(F.col("full"), F.expr("substring(full, 2)"), F.expr("concat(substring(full, 1, 1), substring(full, 3))")))
     given = nodes.filter((F.col("kind") == "p") & (F.length("full") >= ANCHOR_LENGTH)).select("node", "anchor", "letters", "full", "tokens", "n", F.explode(full).alias("d")).withColumn("d", F.xxhash64("anchor", "d"))
     misspelt = (
         given.select("d", F.col("node").alias("a"), "anchor", F.col("letters").alias("la"), F.col("full").alias("fa"), F.col("tokens").alias("ta"), F.col("n").alias("na"))

@@ -81,3 +81,22 @@ def test_a_first_letter_misspelt(spark):
     df = spark.createDataFrame([(n,) for n in ("Sokormin Brelvanik", "Brelvanik, Sokormin", "S. Brelvanik", "Sokormin BRELVANIK", "Dokormin Brelvanik", "Brelvanik, Tokalis")], "name string")
     got = {r["name"]: r["entity"] for r in name_entities(df).collect()}
     assert got["Dokormin Brelvanik"] == got["Sokormin Brelvanik"] != got["Brelvanik, Tokalis"]
+
+
+def test_edits_are_those_of_the_whole_table():
+    import random
+
+    def table(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(2)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(2))
+        for most in (1, 2):
+            assert edits(a, b, most) == min(table(a, b), most + 1), (a, b, most)
