@@ -144,6 +144,18 @@ ORACLES = {
           WHEN regexp_matches(b, '(?i)\b(?:table|figure|fig\.|section|sec\.|equation|eq\.|appendix|chapter|page|p\.)\s*\(?\n?$') THEN 'place'
           WHEN regexp_matches(b, '(?i)(?:doi|https?://|arxiv|10\.\d{4})\S*\n?$') THEN 'identifier' END AS exempt, count(*) AS n
         FROM w GROUP BY 1""",
+    "stated_numbers": r"""
+        WITH texts AS (SELECT 'm' AS side, reading_id AS id, text FROM readings UNION ALL SELECT 'c', covered_id, quote FROM covered),
+        lists AS (SELECT side, id, list_transform(regexp_extract_all(text, '[-+]?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?(?:[eE][+-]?\p{Nd}+)?|[\p{L}\p{Nl}\p{No}]+'),
+                    lambda x: CASE WHEN regexp_matches(x, '^[-+]?\p{Nd}') THEN replace(x, ',', '') ELSE lower(x) END) AS t FROM texts),
+        words AS (SELECT side, id, t, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM lists),
+        sides AS (SELECT side, id, i, w,
+                    CASE WHEN i > 2 AND (regexp_matches(t[i - 2], '^\p{L}') OR regexp_matches(t[i - 1], '^\p{L}')) THEN t[i - 2] || ' ' || t[i - 1] END AS b,
+                    CASE WHEN i + 2 <= len(t) AND (regexp_matches(t[i + 1], '^\p{L}') OR regexp_matches(t[i + 2], '^\p{L}')) THEN t[i + 1] || ' ' || t[i + 2] END AS a
+                  FROM words WHERE regexp_matches(w, '[\p{Nd}²³¹⁰⁴-⁹₀-₉]')),
+        hits AS (SELECT m.id, m.i, c.id AS claim FROM sides m JOIN sides c ON m.side = 'm' AND c.side = 'c' AND m.w = c.w AND m.b = c.b
+                 UNION ALL SELECT m.id, m.i, c.id FROM sides m JOIN sides c ON m.side = 'm' AND c.side = 'c' AND m.w = c.w AND m.a = c.a)
+        SELECT id AS text_id, count(DISTINCT i) AS n_stated, min(claim) AS first_claim FROM hits GROUP BY id""",
     "unmentioned_areas": """
         WITH w AS (SELECT DISTINCT project, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS label FROM documents)
         SELECT g.project, area AS label FROM (SELECT DISTINCT project FROM documents WHERE text IS NOT NULL) g, subject_areas a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.project IS NOT DISTINCT FROM g.project AND w.label = a.area)""",
