@@ -105,6 +105,15 @@ def runs_after_seal(events: DataFrame, ledger: str = "ledger", seq: str = "seq",
     return runs.groupBy(ledger).agg(F.count("*").alias("n_runs"), F.count_if(F.coalesce(F.col(seq) > F.col("_seal"), F.lit(False))).alias("n_sealed"))
 
 
+def kinds_held(events: DataFrame, restarts: DataFrame, ledger: str = "ledger") -> DataFrame:
+    """Event kinds a ledger held before its restart: (ledger, kind, n, first_seq); a ledger without a restart gives none.
+
+    events(ledger, seq, kind), restarts(ledger, at): the number of the first event after the restart.
+    """
+    before = events.join(restarts.select(ledger, F.col("at").alias("_at")), ledger).filter(F.col("seq") < F.col("_at"))
+    return before.groupBy(ledger, "kind").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
 def rerecorded(recordings: DataFrame, seals: DataFrame, retirements: DataFrame, ledger: str = "ledger") -> DataFrame:
     """Paths that a later run recorded under other bytes without an input of the earlier run re-sealed between:
     (ledger, path, earlier_run, later_run), the latest pair of each path.

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probatum.schema import FRESHNESS_RANK, rank_case
+from probatum.schema import AUTHORITY_RANK, FRESHNESS_RANK, rank_case
 from probatum.session import checkpointed
 
 
@@ -86,6 +86,12 @@ def worst_upstream(states: DataFrame, closure: DataFrame) -> DataFrame:
     return graded.groupBy("node").agg(F.min_by("state", "_rank").alias("state"), F.min(F.struct("_rank", "distance", "above"))["above"].alias("cause"))
 
 
+def weakest_authority(registrations: DataFrame, plan: str = "plan_id") -> DataFrame:
+    """The weakest authority among the registrations of each plan: (plan, authority); one of an unknown kind is weaker than all."""
+    rank = F.coalesce(F.expr(rank_case("authority", AUTHORITY_RANK)), F.lit(-1))
+    return registrations.groupBy(plan).agg(F.min_by("authority", F.struct(rank, F.col("authority"))).alias("authority"))
+
+
 def ordering(claims: DataFrame, outputs: DataFrame, plans: DataFrame) -> DataFrame:
     """Whether a confirmatory claim's evidence was produced after the plan it names: (claim_id, ordering, reason).
 

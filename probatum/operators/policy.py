@@ -79,3 +79,55 @@ def only_stricter(graded: DataFrame, weaker: str, stricter: str) -> DataFrame:
 def numbers_limit(unbound: DataFrame, limit: int) -> DataFrame:
     """unbound(text_id, n_unbound) graded: more than limit is an error, any at all a warning."""
     return unbound.withColumn("severity", F.when(F.col("n_unbound") > limit, "error").when(F.col("n_unbound") > 0, "warning").otherwise("ignore"))
+
+
+# What the profiles make of re-runs, freshness and corrected quotations; what is not named is no violation.
+STATE_SEVERITIES = """
+rule permissive publication strict
+reproduction.changed error error error
+reproduction.failed error error error
+reproduction.unchecked warning warning error
+reproduction.not_rerun ignore ignore warning
+staleness.stale warning warning error
+staleness.never_rerun ignore warning error
+staleness.undetermined ignore warning error
+citations.corrected ignore warning warning
+"""
+
+
+def state_rules(spark: SparkSession) -> DataFrame:
+    """(profile, rule, severity) of the fixed table, a row each."""
+    head, *rows = [line.split() for line in STATE_SEVERITIES.strip().splitlines()]
+    return spark.createDataFrame([(p, r[0], s) for r in rows for p, s in zip(head[1:], r[1:])], "profile string, rule string, severity string")
+
+
+def assess_states(states: DataFrame, rules: DataFrame) -> DataFrame:
+    """states(area, state), a row per subject, against every profile: (profile, area, n_errors, n_warnings, n_states, passed).
+
+    Subjects are counted by state before they meet the rules, fifty at most. A profile passes an area without an error.
+    Null states are graded by no rule and counted.
+    """
+    counted = states.groupBy("area", "state").agg(F.count("*").alias("n")).withColumn("rule", F.concat_ws(".", "area", "state"))
+    profiles = [r["profile"] for r in rules.select("profile").distinct().orderBy("profile").collect()]
+    each = counted.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in profiles]))).join(F.broadcast(rules), ["profile", "rule"], "left")
+    out = each.groupBy("profile", "area").agg(
+        F.sum(F.when(F.col("severity") == "error", F.col("n")).otherwise(0)).alias("n_errors"),
+        F.sum(F.when(F.col("severity") == "warning", F.col("n")).otherwise(0)).alias("n_warnings"),
+        F.sum("n").alias("n_states"),
+    )
+    return out.withColumn("passed", F.col("n_errors") == 0)
+
+
+def quotation_report(results: DataFrame, by: list[str]) -> DataFrame:
+    """results(by..., state) as counters and verdicts: (by..., n, n_found, n_corrected, n_missing, n_unresolved, ok, strict_ok).
+
+    A report without a quotation, or with none that was resolved, measured nothing and is no pass. strict_ok asks that
+    nothing is left unresolved besides.
+    """
+    of = lambda *states: F.count_if(F.coalesce(F.col("state").isin(*states), F.lit(False)))
+    out = results.groupBy(*by).agg(
+        F.count("*").alias("n"), of("found").alias("n_found"), of("corrected").alias("n_corrected"), of("not found").alias("n_missing"),
+        of("unchecked", "indeterminate", "ambiguous").alias("n_unresolved"),
+    )
+    ok = (F.col("n") > 0) & (F.col("n_unresolved") < F.col("n")) & (F.col("n_missing") == 0)
+    return out.withColumn("ok", ok).withColumn("strict_ok", ok & (F.col("n_unresolved") == 0))

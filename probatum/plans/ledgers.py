@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.operators import chain
-from probatum.operators.lineage import ordering, own_freshness, upstream, worst_upstream
+from probatum.operators.lineage import ordering, own_freshness, upstream, weakest_authority, worst_upstream
+from probatum.operators.policy import assess_states, state_rules
 from probatum.operators.ranking import numbered
 from probatum.session import checkpointed, table
 
@@ -160,6 +161,27 @@ def staleness_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worst_upstream(_states(spark, sf_dir), upstream(_edges(spark, sf_dir)))
 
 
+def assess_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The freshness of every node, upstream included, against every profile."""
+    s = worst_upstream(_states(spark, sf_dir), upstream(_edges(spark, sf_dir)))
+    return assess_states(s.select(F.lit("staleness").alias("area"), "state"), state_rules(spark))
+
+
+def kinds_before_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event kinds each ledger held before its last seal of path p1, taken for a restart."""
+    k = checkpointed(_kinds(spark, sf_dir))
+    restarts = k.filter("kind = 'seal' and path = 'p1'").groupBy("ledger").agg(F.max("seq").alias("at"))
+    return chain.kinds_held(k, restarts)
+
+
+def weakest_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weakest authority among a customer's orders, priorities standing for authorities."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan_id"), (F.col("o_orderkey") % 6).alias("k"))
+    names = ["self_recorded", "git_remote", "osf", "zenodo", "trusted_timestamp", "unknown"]
+    authority = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("k") + 1).cast("int"))
+    return weakest_authority(o.select("plan_id", authority.alias("authority")))
+
+
 def freshness_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A regeneration per order, its customer's balance as input, its lines as recorded re-runs."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("regeneration"), F.col("o_custkey").alias("cust"))
@@ -199,12 +221,29 @@ def registration_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chain_verify, chain_divergence, latest_state, first_pins, state_changes, changed_only, runs_with_seal, rerecorded_paths,
+        chain_verify, chain_divergence, latest_state, first_pins, state_changes, changed_only, runs_with_seal, rerecorded_paths, assess_freshness, kinds_before_restart, weakest_registrations,
         superseded_claims, exposure_ordering, upstream_closure, staleness_rollup, freshness_states, registration_ordering,
     )
 }
 
 ORACLES = {
+    "assess_freshness": f"""
+        WITH RECURSIVE {_EDGES_SQL},
+        nodes AS (SELECT node FROM edges UNION SELECT above FROM edges),
+        states AS (SELECT node, CASE WHEN node[1] = 'n' AND CAST(node[2:] AS INT) % 9 = 0 THEN 1 WHEN node[1] = 'c' AND CAST(node[2:] AS INT) % 10 = 0 THEN 2
+                                     WHEN node[1] = 's' AND CAST(node[2:] AS INT) % 10 = 1 THEN 0 ELSE 3 END AS r FROM nodes),
+        worst AS (SELECT s.node, least(s.r, coalesce(min(u.r), 3)) AS r FROM states s LEFT JOIN closure c ON c.node = s.node LEFT JOIN states u ON u.node = c.above GROUP BY s.node, s.r)
+        SELECT profile, 'staleness' AS area,
+               CAST(count(*) FILTER (profile = 'strict' AND r < 3) AS BIGINT) AS n_errors,
+               CAST(count(*) FILTER ((profile = 'publication' AND r < 3) OR (profile = 'permissive' AND r = 1)) AS BIGINT) AS n_warnings, count(*) AS n_states,
+               count(*) FILTER (profile = 'strict' AND r < 3) = 0 AS passed
+        FROM worst, (VALUES ('permissive'), ('publication'), ('strict')) p(profile) GROUP BY profile""",
+    "kinds_before_restart": f"""
+        WITH {_KINDS_SQL}, r AS (SELECT ledger, max(seq) AS upto FROM k WHERE kind = 'seal' AND path = 'p1' GROUP BY ledger)
+        SELECT k.ledger, kind, count(*) AS n, min(seq) AS first_seq FROM k JOIN r ON k.ledger = r.ledger AND seq < upto GROUP BY k.ledger, kind""",
+    "weakest_registrations": """
+        WITH a AS (SELECT o_custkey AS plan_id, o_orderkey % 6 AS k FROM orders), r AS (SELECT plan_id, min(CASE WHEN k = 5 THEN -1 WHEN k = 3 THEN 2.5 ELSE k END) AS m FROM a GROUP BY 1)
+        SELECT plan_id, CASE m WHEN -1 THEN 'unknown' WHEN 0 THEN 'self_recorded' WHEN 1 THEN 'git_remote' WHEN 2 THEN 'osf' WHEN 2.5 THEN 'zenodo' ELSE 'trusted_timestamp' END AS authority FROM r""",
     "chain_verify": f"""
         WITH {_LINES_SQL},
         f AS (SELECT ledger, n, raw, CASE WHEN NOT readable THEN 'corrupt' WHEN prev_hash <> expected THEN 'edited' WHEN seq <> n THEN 'reordered' END AS fault FROM l),

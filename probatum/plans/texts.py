@@ -10,6 +10,7 @@ from probatum.functions.numerals import inventory_udf, located_udf
 from probatum.operators.chain import with_previous
 from probatum.operators.decide import decide
 from probatum.operators.passages import covered_by, explain_missing, inside, quote_states, triangulate
+from probatum.operators.policy import quotation_report
 from probatum.operators.ranking import numbered
 from probatum.operators.survey import bindings
 from probatum.session import checkpointed, spread, table
@@ -148,16 +149,25 @@ def survey_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings(p, s).groupBy("printed", "conversion").agg(F.count("*").alias("n_values"), F.min("value_id").alias("first_value"))
 
 
+def quotation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and verdicts of the checked quotations of every artifact."""
+    return quotation_report(table(spark, sf_dir, "covered").select("artifact_id", "state"), ["artifact_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         json_pointer_lookup, array_element_lookup, numbers_by_standing, numbers_by_rule, set_aside_reasons, claims_numbers, number_lines,
         number_neighbours, number_inventory, prose_locator, bound_numbers, covered_states, missing_quotes, quotation_coverage,
-        reader_agreement, passage_forms, survey_candidates,
+        reader_agreement, quotation_reports, passage_forms, survey_candidates,
     )
 }
 
 ORACLES = {
+    "quotation_reports": """
+        WITH c AS (SELECT artifact_id, count(*) AS n, count(*) FILTER (state = 'found') AS n_found, count(*) FILTER (state = 'corrected') AS n_corrected,
+                          count(*) FILTER (state = 'not found') AS n_missing, count(*) FILTER (state IN ('unchecked', 'indeterminate', 'ambiguous')) AS n_unresolved FROM covered GROUP BY 1)
+        SELECT *, n_unresolved < n AND n_missing = 0 AS ok, n_unresolved < n AND n_missing = 0 AND n_unresolved = 0 AS strict_ok FROM c""",
     "json_pointer_lookup": """
         WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS stored FROM events)
         SELECT event_id, stored, CASE WHEN stored IS NULL THEN 'not_found' WHEN event_id % 10 = 0 THEN 'mismatch' ELSE 'verified' END AS outcome,

@@ -190,3 +190,15 @@ def test_rerecorded_is_the_rule_pair_by_pair(spark):
                 if not changed:
                     want[ledger, path] = (f"r{one[1]}", f"r{two[1]}")
     assert got == want and want
+
+
+def test_assessments_of_states(spark):
+    from probatum.operators.policy import assess_states, quotation_report, state_rules
+
+    states = spark.createDataFrame([("staleness", "stale"), ("staleness", "current"), ("reproduction", "changed"), ("staleness", None)], "area string, state string")
+    got = {(r["profile"], r["area"]): (r["n_errors"], r["n_warnings"], r["n_states"], r["passed"]) for r in assess_states(states, state_rules(spark)).collect()}
+    assert got["strict", "staleness"] == (1, 0, 3, False) and got["permissive", "staleness"] == (0, 1, 3, True) and got["permissive", "reproduction"] == (1, 0, 1, False)
+    assert assess_states(states.limit(0), state_rules(spark)).count() == 0
+    q = spark.createDataFrame([("a", "found"), ("a", "unchecked"), ("b", "unchecked"), ("c", "found"), ("d", "not found"), ("d", "found"), ("e", None)], "f string, state string")
+    got = {r["f"]: (r["ok"], r["strict_ok"]) for r in quotation_report(q, ["f"]).collect()}
+    assert got == {"a": (True, False), "b": (False, False), "c": (True, True), "d": (False, False), "e": (True, True)}
