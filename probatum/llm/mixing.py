@@ -89,7 +89,8 @@ def schedule(mixed: DataFrame) -> DataFrame:
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: documents, tokens there and used, most uses of a document, share wanted and reached."""
+    """Per target source: documents, tokens there and used, most uses of a document, share wanted and reached, and the
+    tokens (repeats allowed included) that are left unused because another source ran out first."""
     used = mixed.groupBy("source").agg(
         F.count("*").alias("n_documents"), F.sum("tokens").alias("tokens_there"),
         F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"),
@@ -101,6 +102,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         .join(used, "source", "left")
         .select(
             "source", "target_share", "max_repeat", zero("n_documents"), zero("tokens_there"), zero("tokens_used"), zero("most_uses"),
+            F.greatest(F.coalesce("tokens_there", F.lit(0)) * F.col("max_repeat") - F.coalesce("tokens_used", F.lit(0)), F.lit(0)).alias("tokens_unused"),
             F.round(F.coalesce("tokens_used", F.lit(0)) / F.greatest(whole, F.lit(1)), 6).alias("reached_share"),
         )
     )

@@ -91,6 +91,7 @@ def test_mix(spark):
     early = sum(r["tokens"] for r in order if r["source"] == "b" and r["position"] < 0.5)
     assert early < 0.5 * 1600  # weights rise for what is repeated more
     assert abs(expected_moment(0.25, 0.5) + 0.5 * (expected_moment(0.25, 0.5) ** 2 - expected_moment(0.25, 0.5)) - 0.25) < 1e-9
+    assert all(r["tokens_unused"] == r["tokens_there"] * r["max_repeat"] - r["tokens_used"] >= 0 for r in shares(mixed, targets).collect())
     capped = {r["source"]: r for r in shares(mix(df, targets, total=1e6), targets).collect()}
     assert capped["a"]["most_uses"] == 1 and capped["b"]["most_uses"] == 4 and capped["a"]["tokens_used"] == 20000
     assert mix(df.limit(0), targets).count() == 0
