@@ -86,6 +86,27 @@ def worst_upstream(states: DataFrame, closure: DataFrame) -> DataFrame:
     return graded.groupBy("node").agg(F.min_by("state", "_rank").alias("state"), F.min(F.struct("_rank", "distance", "above"))["above"].alias("cause"))
 
 
+def worst_through(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same as worst_upstream(states, upstream(edges)) without the pairs of the closure: (node, state, cause).
+
+    A node carries the worst state known to lie upstream, how far and where; in each round what the nodes directly above
+    carry comes one step down, until nothing changes. A round costs the edges once, whatever lies above a node, and a
+    node of many edges is a partial minimum. Cycles end, since a longer way to the same cause is never better.
+    """
+    links = checkpointed(edges.select("node", "above").distinct())
+    rank = F.expr(rank_case("state", FRESHNESS_RANK))
+    known = states.filter(rank.isNotNull()).select("node", F.struct(rank.alias("rank"), F.lit(0).alias("distance"), F.col("node").alias("cause"), "state").alias("w"))
+    found = checkpointed(known.groupBy("node").agg(F.min("w").alias("w")))
+    moved = found
+    while not moved.isEmpty():
+        one_on = F.col("w").withField("distance", F.col("w.distance") + 1)
+        offered = links.join(moved.select(F.col("node").alias("above"), one_on.alias("w")), "above").groupBy("node").agg(F.min("w").alias("offer"))
+        joined = checkpointed(found.join(offered, "node", "full").select("node", F.col("w").alias("was"), F.least("w", "offer").alias("w")))
+        moved = joined.filter(F.col("was").isNull() | (F.col("w") < F.col("was"))).select("node", "w")
+        found = joined.select("node", "w")
+    return found.select("node", "w.state", F.col("w.cause").alias("cause"))
+
+
 def weakest_authority(registrations: DataFrame, plan: str = "plan_id") -> DataFrame:
     """The weakest authority among the registrations of each plan: (plan, authority); one of an unknown kind is weaker than all."""
     rank = F.coalesce(F.expr(rank_case("authority", AUTHORITY_RANK)), F.lit(-1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probatum.operators import chain
-from probatum.operators.lineage import ordering, own_freshness, upstream, weakest_authority, worst_upstream
+from probatum.operators.lineage import ordering, own_freshness, upstream, weakest_authority, worst_through
 from probatum.operators.policy import assess_states, state_rules
 from probatum.operators.ranking import numbered
 from probatum.session import checkpointed, table
@@ -158,12 +158,12 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staleness_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return worst_upstream(_states(spark, sf_dir), upstream(_edges(spark, sf_dir)))
+    return worst_through(_states(spark, sf_dir), _edges(spark, sf_dir))
 
 
 def assess_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The freshness of every node, upstream included, against every profile."""
-    s = worst_upstream(_states(spark, sf_dir), upstream(_edges(spark, sf_dir)))
+    s = worst_through(_states(spark, sf_dir), _edges(spark, sf_dir))
     return assess_states(s.select(F.lit("staleness").alias("area"), "state"), state_rules(spark))
 
 

@@ -202,3 +202,16 @@ def test_assessments_of_states(spark):
     q = spark.createDataFrame([("a", "found"), ("a", "unchecked"), ("b", "unchecked"), ("c", "found"), ("d", "not found"), ("d", "found"), ("e", None)], "f string, state string")
     got = {r["f"]: (r["ok"], r["strict_ok"]) for r in quotation_report(q, ["f"]).collect()}
     assert got == {"a": (True, False), "b": (False, False), "c": (True, True), "d": (False, False), "e": (True, True)}
+
+
+def test_worst_through_is_the_closure(spark):
+    import random
+
+    from probatum.operators.lineage import worst_through
+
+    rng = random.Random(6)
+    edges = spark.createDataFrame([(f"n{rng.randint(0, 30)}", f"n{rng.randint(0, 30)}") for _ in range(45)] + [("x", "n1"), ("x", "n1")], "node string, above string")
+    states = spark.createDataFrame([(f"n{i}", rng.choice(["current", "current", "stale", "undetermined", "never_rerun"])) for i in range(0, 31, 2)] + [("x", "current"), ("alone", "stale")], "node string, state string")
+    rows = lambda df: {(r["node"], r["state"], r["cause"]) for r in df.collect()}
+    assert rows(worst_through(states, edges)) == rows(worst_upstream(states, upstream(edges)))
+    assert worst_through(states.limit(0), edges).count() == 0 and worst_through(states, edges.limit(0)).count() == states.count()
