@@ -48,7 +48,7 @@ LABELLED_ROWS = 50_000
 SHARE = 0.2
 #: Documents of the corpus and composed documents on which the chain is fitted, at most; most words of such a document;
 #: share of the words kept for the evidence; width of the beam.
-SAMPLE_DOCS, COMPOSED, SAMPLE_WORDS, KEPT, BEAM = 4000, 2000, 20_000, 0.6, 8
+SAMPLE_DOCS, COMPOSED, SAMPLE_WORDS, KEPT, BEAM = 4000, 2000, 4000, 0.6, 8
 #: Kinds of source told apart make up this share of the documents, so there are at most 1 / SOURCE_SHARE.
 SOURCE_SHARE = 1e-3
 
@@ -393,7 +393,7 @@ def _sampled(documents: DataFrame, model: np.ndarray, general: np.ndarray, sourc
     areas = model.shape[1] - 1
     xs, ys = [np.zeros((0, areas, 4 + len(sources)))], [np.zeros((0, areas))]
     rng = np.random.default_rng(11)
-    for batch in table.to_batches():
+    for batch in table.to_batches(max_chunksize=200):
         b = Batch(batch)
         _, hard = document_shares(b, b.posterior(model, general))
         thin = _thinned(b, rng)
